@@ -5,8 +5,11 @@ from pyspark.sql import functions as F
 
 from levelmark.reference_values import ABOUT_SEPARATOR, TITLE_SEPARATOR
 
-# All Unicode white space plus the four ASCII separators, at either end.
-EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# All Unicode white space plus the four ASCII separators.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 # No bracket anywhere, or bracketed as a whole ((?d): only \n ends a line).
 TITLE_FORMAT = r"(?d)^[^\[\]]+$|^\[.*\]$"
 SECTOR_LABEL = r"^(.*?) \((.*?)\)*$"
@@ -14,7 +17,7 @@ OBJECT_URI = r"^s3://([^/]+)/(.*)$"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, EDGE_SPACE, "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def normalise_key(c: Column) -> Column:
@@ -46,7 +49,9 @@ def is_list_like(c: Column) -> Column:
     # The array wrapping rejects text that closes the list and adds another field.
     single = F.json_array_length(F.concat(F.lit("["), cell, F.lit("]"))) == 1
     strict = wrapped["v"].isNotNull() & wrapped["_bad"].isNull() & single
-    return F.coalesce(cell.startswith("[") & cell.endswith("]") & strict, F.lit(False))
+    # Only bracketed cells are parsed at all.
+    bracketed = cell.startswith("[") & cell.endswith("]")
+    return F.coalesce(F.when(bracketed, strict), F.lit(False))
 
 
 def parse_list_cell(c: Column) -> Column:
@@ -91,6 +96,6 @@ def file_stem(name: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Distinct lower-cased words (letters and digits)."""
-    words = F.split(F.lower(c), r"[^\p{L}\p{N}]+")
-    return F.array_distinct(F.filter(words, lambda w: w != ""))
+    """Lower-cased words (letters and digits) in order, with an empty one where
+    the text starts or ends with something else."""
+    return F.split(F.lower(c), r"[^\p{L}\p{N}]+")

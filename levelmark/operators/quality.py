@@ -1,8 +1,6 @@
 """Validation rules; each returns rows (dataset, rule, column, n_bad, message)
 and a dataset passes when no row comes back."""
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,15 +8,18 @@ from pyspark.sql import types as T
 from levelmark.functions.text import file_name, file_stem, title_format_ok
 from levelmark.reference_values import sector_dimension
 
-REPORT = "dataset string, rule string, column string, n_bad bigint, message string"
+# Rule, column, number of bad rows (an aggregate), message.
+Check = tuple[str, str, Column, str]
 
 # Parts of the expected file names.
 FRAMEWORK_PREFIX = "SFW_"
 LISTING_SUFFIX = "_sector_course_listing"
 
 
-def _counted(df: DataFrame, dataset: str, checks: list[tuple[str, str, Column, str]]) -> DataFrame:
-    """All checks of a table in one pass: (rule, column, count aggregate, message)."""
+def _counted(df: DataFrame, dataset: str, checks: list[Check]) -> DataFrame:
+    """All checks of a table in one pass."""
+    if not checks:
+        checks = [("nothing_to_check", "*", F.lit(0), "")]
     counts = df.agg(*[count.cast("bigint").alias(f"_{i}") for i, (_, _, count, _) in enumerate(checks)])
     cells = [
         F.struct(
@@ -33,14 +34,27 @@ def _counted(df: DataFrame, dataset: str, checks: list[tuple[str, str, Column, s
     return counts.select(F.inline(F.array(*cells))).where("n_bad > 0")
 
 
-def column_names(df: DataFrame, dataset: str, expected: list[str]) -> DataFrame:
-    """Missing and extra columns; reads the schema only."""
-    rows = [(dataset, "missing_column", c, 1, "column is missing") for c in sorted(set(expected) - set(df.columns))]
-    rows += [(dataset, "extra_column", c, 1, "column is not expected") for c in sorted(set(df.columns) - set(expected))]
-    return df.sparkSession.createDataFrame(rows, REPORT)
+def column_checks(df: DataFrame, expected: list[str]) -> list[Check]:
+    """Missing and extra columns; every row counts as bad."""
+    rows = F.greatest(F.count("*"), F.lit(1))
+    missing = sorted(set(expected) - set(df.columns))
+    extra = sorted(set(df.columns) - set(expected))
+    return [("missing_column", c, rows, "column is missing") for c in missing] + [
+        ("extra_column", c, rows, "column is not expected") for c in extra
+    ]
 
 
-def level_checks(column: str) -> list[tuple[str, str, Column, str]]:
+def text_checks(df: DataFrame, columns: list[str]) -> list[Check]:
+    """Columns that should be text but are not; every filled cell is bad."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return [
+        ("not_text", c, F.greatest(F.count(c), F.lit(1)), f"should be text, is {kinds[c].simpleString()}")
+        for c in columns
+        if c in kinds and not isinstance(kinds[c], T.StringType)
+    ]
+
+
+def level_checks(column: str) -> list[Check]:
     """Level read as text: not a number, not whole, empty; each counted apart."""
     number = F.col(column).try_cast("double")
     return [
@@ -50,28 +64,21 @@ def level_checks(column: str) -> list[tuple[str, str, Column, str]]:
     ]
 
 
-def no_rows_check() -> tuple[str, str, Column, str]:
+def no_rows_check() -> Check:
     return ("no_rows", "*", F.when(F.count("*") == 0, 1).otherwise(0), "there are no data rows")
 
 
-def all_null_check(column: str) -> tuple[str, str, Column, str]:
+def all_null_check(column: str) -> Check:
     empty = (F.count("*") > 0) & (F.count(column) == 0)
     return ("all_null", column, F.when(empty, F.count("*")).otherwise(0), "column is completely empty")
 
 
-def title_format_check(column: str = "skill_title") -> tuple[str, str, Column, str]:
+def title_format_check(column: str = "skill_title") -> Check:
     return ("title_format", column, F.count_if(~title_format_ok(F.col(column))), "neither a name nor a list")
 
 
-def text_types(df: DataFrame, dataset: str, columns: list[str]) -> DataFrame:
-    """Columns that should be text but are not; reads the schema only."""
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    rows = [
-        (dataset, "not_text", c, 1, f"should be text, is {kinds[c].simpleString()}")
-        for c in columns
-        if c in kinds and not isinstance(kinds[c], T.StringType)
-    ]
-    return df.sparkSession.createDataFrame(rows, REPORT)
+def column_names(df: DataFrame, dataset: str, expected: list[str]) -> DataFrame:
+    return _counted(df, dataset, column_checks(df, expected))
 
 
 def level_types(df: DataFrame, dataset: str, column: str = "level") -> DataFrame:
@@ -92,16 +99,20 @@ def bad_titles(listing: DataFrame) -> DataFrame:
 
 
 def framework_report(df: DataFrame, dataset: str, expected: list[str], text_columns: list[str]) -> DataFrame:
-    parts = [column_names(df, dataset, expected), text_types(df, dataset, text_columns)]
-    parts.append(_counted(df, dataset, [no_rows_check(), *level_checks("level")]))
-    return reduce(DataFrame.unionByName, parts)
+    """All framework rules in one pass over the table."""
+    checks = [*column_checks(df, expected), *text_checks(df, text_columns), no_rows_check()]
+    if "level" in df.columns:
+        checks += level_checks("level")
+    return _counted(df, dataset, checks)
 
 
 def listing_report(df: DataFrame, dataset: str, expected: list[str], text_columns: list[str]) -> DataFrame:
-    parts = [column_names(df, dataset, expected), text_types(df, dataset, text_columns)]
-    checks = [no_rows_check(), all_null_check("course_ref"), all_null_check("course_title"), title_format_check()]
-    parts.append(_counted(df, dataset, checks))
-    return reduce(DataFrame.unionByName, parts)
+    """All listing rules in one pass over the table."""
+    checks = [*column_checks(df, expected), *text_checks(df, text_columns), no_rows_check()]
+    checks += [all_null_check(c) for c in ("course_ref", "course_title") if c in df.columns]
+    if "skill_title" in df.columns:
+        checks.append(title_format_check())
+    return _counted(df, dataset, checks)
 
 
 def report_passes(report: DataFrame) -> DataFrame:

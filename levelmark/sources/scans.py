@@ -1,5 +1,7 @@
 """Reading frameworks, listings, results and file listings."""
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +72,18 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*", recursive:
     )
 
 
+def with_empty_files(files: DataFrame) -> DataFrame:
+    """Adds the files of length 0, which the scan itself leaves out. Paths only,
+    as the scan's own file index holds them."""
+    paths = [(unquote(path),) for path in files.inputFiles()]
+    every = files.sparkSession.createDataFrame(paths, "path string")
+    # inputFiles() and the scan may write the scheme with one or three slashes.
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    known = files.withColumn("_p", plain).drop("path")
+    joined = every.withColumn("_p", plain).join(known, "_p", "left").drop("_p")
+    return joined.withColumn("length", F.coalesce("length", F.lit(0)))
+
+
 def latest_file(files: DataFrame, by_time: bool = False) -> DataFrame:
     """Last file by name, or by time and then name."""
     name = file_name(F.col("path"))

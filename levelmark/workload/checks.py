@@ -3,34 +3,40 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from levelmark.functions.text import file_name
 from levelmark.operators import quality
 from levelmark.reference_values import SECTORS
 from levelmark.schemas import FRAMEWORK_COLUMNS, LISTING_COLUMNS
-from levelmark.sources.scans import list_files
+from levelmark.sources.scans import list_files, with_empty_files
 from levelmark.sources.shared import scratch_path
 from levelmark.workload import rows
 from levelmark.workload import tables as t
 from levelmark.workload.registry import query
 
 
-@query()
+@query("""SELECT 'sector=other' AS folder, 'empty_file' AS rule
+FROM part HAVING count(*) FILTER (WHERE p_brand = 'no such sector') = 0""")
 def dq_empty_file(spark: SparkSession, folder: str) -> DataFrame:
-    """Empty files of an input folder; tasks without rows leave some."""
-    path = scratch_path(spark, "texts")
-    names = t.table(spark, folder, "part").select("p_name").repartition(8, "p_name")
-    names.write.text(path)
-    files = list_files(spark, path, "*.txt")
-    return quality.empty_files(files).select(file_name(F.col("path")).alias("file"), "rule")
-
-
-@query("""SELECT * FROM (VALUES
-  ('framework', 'missing_column', 'category'), ('framework', 'missing_column', 'topic_code'),
-  ('framework', 'missing_column', 'topic_descr'), ('framework', 'missing_column', 'topic_type'),
-  ('framework', 'extra_column', 'ord')) AS v(dataset, rule, "column")""")
+    """A sector without rows leaves an empty file in its folder."""
+    root = scratch_path(spark, "texts")
+    titles = t.framework(spark, folder)
+    for name, sector in (("chosen", t.SECTOR), ("other", "no such sector")):
+        titles.where(F.col("sector") == sector).select("title").write.text(f"{root}/sector={name}")
+    files = quality.empty_files(with_empty_files(list_files(spark, root, "*.txt")))
+    return files.select(F.regexp_extract("path", r"/(sector=\w+)/", 1).alias("folder"), "rule")
+
+
+COLUMN_RULES_SQL = """
+column_rules AS (
+  SELECT 'framework' AS dataset, rule, c AS "column", (SELECT count(*) FROM part) AS n_bad
+  FROM (VALUES ('missing_column', 'category'), ('missing_column', 'topic_code'), ('missing_column', 'topic_descr'),
+               ('missing_column', 'topic_type'), ('extra_column', 'ord')) AS v(rule, c))
+"""
+
+
+@query(f"WITH {COLUMN_RULES_SQL} SELECT * FROM column_rules")
 def dq_columns(spark: SparkSession, folder: str) -> DataFrame:
     report = quality.column_names(t.framework(spark, folder), "framework", list(FRAMEWORK_COLUMNS.values()))
-    return report.select("dataset", "rule", "column")
+    return report.select("dataset", "rule", "column", "n_bad")
 
 
 RAW_LEVEL_SQL = """CASE WHEN p_size % 10 = 0 THEN 'unknown' WHEN p_size % 10 = 1 THEN NULL
@@ -152,11 +158,10 @@ def dq_listing_name(spark: SparkSession, folder: str) -> DataFrame:
     return quality.listing_names(files).groupBy("path", "rule").agg(F.count("*").alias("n_files"))
 
 
-@query(f"""WITH {LEVEL_RULES_SQL}, {rows.TITLE_FORMS_SQL}
+@query(f"""WITH {LEVEL_RULES_SQL}, {COLUMN_RULES_SQL}, {rows.TITLE_FORMS_SQL}
 SELECT dataset, rule, "column", n_bad FROM level_rules WHERE n_bad > 0
-UNION ALL SELECT 'framework', 'missing_column', c, 1 FROM (VALUES ('category'), ('topic_code'), ('topic_descr'), ('topic_type')) AS v(c)
-UNION ALL SELECT 'framework', 'extra_column', 'ord', 1
-UNION ALL SELECT 'listing', 'not_text', 'course_ref', 1
+UNION ALL SELECT dataset, rule, "column", n_bad FROM column_rules
+UNION ALL SELECT 'listing', 'not_text', 'course_ref', count(*) FROM li
 UNION ALL SELECT 'listing', 'title_format', 'skill_title', count(*) FROM li WHERE NOT ({rows.TITLE_OK_SQL})""")
 def dq_report(spark: SparkSession, folder: str) -> DataFrame:
     """All rules on both inputs."""

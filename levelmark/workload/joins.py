@@ -9,7 +9,9 @@ from levelmark.operators.dedupe import keep_first
 from levelmark.operators.joins import lookup_join, salted_join
 from levelmark.operators.listing import attach_descriptions, course_descriptions, mixed_formats
 from levelmark.operators.routing import check_level, irrelevant_rows, join_answers, level_violations, relevant_rows
+from levelmark.operators.taxonomy import level_pairs
 from levelmark.plans.runs import pending
+from levelmark.sources.shared import written
 from levelmark.workload import runs
 from levelmark.workload import tables as t
 from levelmark.workload.registry import query
@@ -59,7 +61,7 @@ def join_left_descr(spark: SparkSession, folder: str) -> DataFrame:
 SELECT li.course_ref, li.l_linenumber, li.skill_key, p.level
 FROM li LEFT JOIN pairs p ON li.skill_key = p.skill_key AND li.answer2 = p.level""")
 def join_level_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = taxonomy.level_pairs(t.topics(spark, folder))
+    pairs = level_pairs(t.topics(spark, folder))
     rows = t.keyed(spark, folder).withColumn("level", F.col("answer2"))
     checked = check_level(rows, pairs, "level", "ok", salt_by=["course_ref", "l_linenumber"])
     return checked.select("course_ref", "l_linenumber", "skill_key", F.when(F.col("ok"), F.col("level")).alias("level"))
@@ -79,7 +81,9 @@ ids AS (SELECT *, {CONTENT_SQL} AS unique_id FROM work),
 ans AS (SELECT unique_id, min(answer2) AS level2 FROM ids WHERE answer2 > 0 GROUP BY unique_id)
 SELECT course_ref, skill_title, unique_id, level2 FROM ids LEFT JOIN ans USING (unique_id)""")
 def join_left_r2(spark: SparkSession, folder: str) -> DataFrame:
-    ids = contents(spark, folder)
+    # Read three times below: answers, hot ids, rows.
+    columns = ["course_ref", "skill_title", "unique_id", "answer2"]
+    ids = written(contents(spark, folder).select(*columns), "contents")
     answers = ids.where("answer2 > 0").groupBy("unique_id").agg(F.min("answer2").alias("level2"))
     joined = join_answers(ids, answers, ["unique_id"], "left", salt_by=["course_ref"])
     return joined.select("course_ref", "skill_title", "unique_id", "level2")
@@ -122,13 +126,12 @@ viol AS (
 SELECT t.course_ref, t.skill_title, t.answer2 AS level, v.invalid_pl
 FROM tagged t FULL OUTER JOIN viol v ON t.skill_key = v.skill_key AND t.answer2 = v.invalid_pl""")
 def join_outer_violations(spark: SparkSession, folder: str) -> DataFrame:
-    """Every violation comes from a tagged row, so the left join returns the
-    rows of the full outer join."""
+    """Every violation comes from a tagged row, so checking each row against the
+    framework gives the rows of the full outer join without building it."""
+    topics = t.topics(spark, folder)
     tagged = work_rows(spark, folder).where("answer2 > 0").withColumn("level", F.col("answer2"))
-    bad = level_violations(tagged, t.topics(spark, folder))
-    bad = bad.select("skill_key", "level", F.col("level").alias("invalid_pl"))
-    joined = lookup_join(tagged, bad, ["skill_key", "level"], "left", ["course_ref"])
-    return joined.select("course_ref", "skill_title", "level", "invalid_pl")
+    checked = check_level(tagged, level_pairs(topics), "level", "ok", salt_by=["course_ref"])
+    return checked.select("course_ref", "skill_title", "level", F.when(~F.col("ok"), F.col("level")).alias("invalid_pl"))
 
 
 @query(f"""WITH {runs.LIST_CELLS_SQL}, {t.first_descriptions_sql()}

@@ -8,7 +8,7 @@ from levelmark.operators.listing import course_descriptions, extract_list_skills
 from levelmark.operators.taxonomy import level_pairs
 from levelmark.plans.rounds import bucket_round1, bucket_round2, prepare_work, round2_work, tag_round1, tag_round2
 from levelmark.plans.runs import RunSettings, RunStore, run_two_rounds
-from levelmark.sources.shared import scratch_path
+from levelmark.sources.shared import scratch_path, written
 from levelmark.workload import scoring as sc
 from levelmark.workload import tables as t
 from levelmark.workload.registry import query
@@ -93,6 +93,9 @@ def round2(spark: SparkSession, folder: str) -> DataFrame:
     r1 = bucket_round1(work.withColumn("level", F.col("answer1")), topics, F.lit(False), fits=fits)
     failed = r1.where("bucket = 'r1_invalid'")
     ids = round2_work(failed, course_descriptions(listing, t.ORDER), hot=t.hot_courses(spark, folder))
+    # Read three times below: answers, hot ids, rows.
+    columns = ["work_id", "course_ref", "skill_key", "unique_id", "level", "answer2", "bucket"]
+    ids = written(ids.select(*columns), "contents")
     lowest = ids.groupBy("unique_id").agg(F.min("answer2").alias("answer2"))
     tagged = tag_round2(ids, fixed_answers(lowest, "unique_id", "answer2", "proficiency"), topics, fits=fits)
     return tagged.select("course_ref", "skill_key", "unique_id", "level", "level2", "bucket")

@@ -62,13 +62,17 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def long_listing(spark: SparkSession, folder: str) -> DataFrame:
-    """Listing whose `about` is a whole document where the course has one."""
+def with_documents(rows: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Puts a whole document into `about` where the course has one."""
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("course_ref"), F.col("text").alias("_text"))
-    joined = listing(spark, folder).join(docs, "course_ref", "left")
+    joined = rows.join(docs, "course_ref", "left")
     return joined.withColumn("about", F.coalesce("_text", "about")).drop("_text")
 
 
+def long_listing(spark: SparkSession, folder: str) -> DataFrame:
+    return with_documents(listing(spark, folder), spark, folder)
+
+
 def keyed(spark: SparkSession, folder: str) -> DataFrame:
     return with_skill_key(listing(spark, folder))
 

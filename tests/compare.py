@@ -31,11 +31,13 @@ def compare(spark, con, name, query, sql, folder):
     df = query(spark, folder)
     spark_columns, spark_rows = canonical(df.columns, [tuple(r) for r in df.collect()])
     if sql is None:
-        return None if spark_columns else "no columns"
+        return None if spark_rows else "no rows"
     result = con.execute(sql)
     duck_columns, duck_rows = canonical([d[0] for d in result.description], result.fetchall())
     if spark_columns != duck_columns:
         return f"columns {spark_columns} / {duck_columns}"
+    if not spark_rows:
+        return "no rows"
     if spark_rows != duck_rows:
         only_spark = [r for r in spark_rows[:100000] if r not in set(duck_rows)][:2]
         only_duck = [r for r in duck_rows[:100000] if r not in set(spark_rows)][:2]
