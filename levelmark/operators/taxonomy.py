@@ -23,9 +23,14 @@ def topic_keys(framework: DataFrame) -> DataFrame:
     return framework.where(F.col("skill_key").isNotNull()).select("skill_key").distinct()
 
 
+def leveled(framework: DataFrame) -> DataFrame:
+    """Rows without a level define nothing."""
+    return framework.where(F.col("level").isNotNull())
+
+
 def level_pairs(framework: DataFrame, by: str = "skill_key") -> DataFrame:
     """One row per topic and level it defines."""
-    return framework.where(F.col("level").isNotNull()).select(by, "level").distinct()
+    return leveled(framework).select(by, "level").distinct()
 
 
 def level_sets(framework: DataFrame, by: str = "skill_key") -> DataFrame:
@@ -45,7 +50,7 @@ def first_title_levels(framework: DataFrame) -> DataFrame:
 def distinct_items(framework: DataFrame, order: list[str]) -> DataFrame:
     """One row per topic, level, class and item with its first position; repeats
     are folded before the shuffle."""
-    return framework.groupBy("skill_key", "level", "item_class", "item").agg(
+    return leveled(framework).groupBy("skill_key", "level", "item_class", "item").agg(
         F.min(F.struct(F.struct(*order).alias("pos"), "level_descr")).alias("first")
     )
 
@@ -80,7 +85,7 @@ def knowledge_pages(framework: DataFrame, order: list[str], page_rows: int = PAG
     position = ", ".join(f"`{c}`" for c in order)
     page = F.struct(*order[:-1], F.floor(F.col(order[-1]) / page_rows).cast("bigint").alias("page"))
     joined = f"listagg(coalesce(item, ''), '{ITEM_SEPARATOR}') WITHIN GROUP (ORDER BY {position})"
-    return framework.groupBy("skill_key", "level", page.alias("page")).agg(F.expr(joined).alias("items"))
+    return leveled(framework).groupBy("skill_key", "level", page.alias("page")).agg(F.expr(joined).alias("items"))
 
 
 def knowledge_base(pages: DataFrame) -> DataFrame:

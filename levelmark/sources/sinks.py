@@ -25,15 +25,15 @@ def write_inputs(framework: DataFrame, listing: DataFrame, root: str, stamp: str
         write_parquet(df, f"{root}/role={role}/run_ts={stamp}")
 
 
-def write_buckets(df: DataFrame, root: str, *partitions: str) -> None:
-    """One pass over a frame holding all buckets; replaces only the partitions
-    that occur in it."""
-    (
-        df.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*(partitions or ("sector", "bucket")))
-        .parquet(root)
-    )
+def write_buckets(df: DataFrame, path: str) -> None:
+    """One pass over a frame holding all buckets. The whole table is replaced,
+    so that a bucket that has become empty keeps no rows of an earlier run."""
+    df.write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def write_results(df: DataFrame, root: str, alias: str) -> None:
+    """Buckets of one sector; the other sectors stay untouched."""
+    write_buckets(df, f"{root}/sector={alias}")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

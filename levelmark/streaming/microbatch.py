@@ -10,21 +10,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from levelmark.plans.runs import RunSettings, run_two_rounds
+from levelmark.sources.sinks import write_buckets, write_parquet
 
 
 def stream_listing(
     spark: SparkSession, source: str, schema, framework: DataFrame, root: str, settings: RunSettings, prepare=None
 ) -> StreamingQuery:
-    """Starts the stream over Parquet files in `source`; each batch is stored
-    under its own run folder, which a repeat of the batch overwrites."""
+    """Starts the stream over Parquet files in `source`. Each batch has its own
+    run folder and its own part of the tables `results` and `seen`, which a
+    repeat of the batch overwrites."""
 
     def tag(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         rows = prepare(batch) if prepare else batch
         earlier = None
         if batch_id > 0:
-            earlier = read_runs(session, root, "work").where(F.col("batch") < batch_id)
-        run_two_rounds(session, framework, rows, f"{root}/runs/batch={batch_id}", settings, seen=earlier)
+            earlier = read_batches(session, root, "seen").where(F.col("batch") < batch_id)
+        run = f"{root}/runs/{batch_id}"
+        results = run_two_rounds(session, framework, rows, run, settings, seen=earlier)
+        write_buckets(results, f"{root}/results/batch={batch_id}")
+        write_parquet(session.read.parquet(f"{run}/work").select("work_id"), f"{root}/seen/batch={batch_id}")
 
     return (
         spark.readStream.schema(schema)
@@ -37,6 +42,6 @@ def stream_listing(
     )
 
 
-def read_runs(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """One table of all batches, with the batch number."""
-    return spark.read.option("basePath", f"{root}/runs").parquet(f"{root}/runs/batch=*/{table}")
+def read_batches(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """`results` or `seen` of all batches, with the batch number."""
+    return spark.read.parquet(f"{root}/{table}")

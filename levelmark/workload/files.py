@@ -105,8 +105,7 @@ results AS (
 @query(f"{RESULTS_SQL} SELECT course_ref, skill_title, result AS bucket FROM results WHERE result = 'valid'")
 def scan_results(spark: SparkSession, folder: str) -> DataFrame:
     root = scratch_path(spark, "results")
-    rows = tagged_results(spark, folder, ["course_ref", "skill_title"]).withColumn("sector", F.lit("B1"))
-    sinks.write_buckets(rows, root)
+    sinks.write_results(tagged_results(spark, folder, ["course_ref", "skill_title"]), root, "B1")
     return scans.read_results(spark, root, "valid").select("course_ref", "skill_title", "bucket")
 
 
@@ -192,7 +191,7 @@ RESULT_COUNTS_SQL = "SELECT result AS bucket, count(*) AS n_rows, count(DISTINCT
 @query(f"{RESULTS_SQL} {RESULT_COUNTS_SQL}")
 def sink_results(spark: SparkSession, folder: str) -> DataFrame:
     root = scratch_path(spark, "results")
-    sinks.write_buckets(tagged_results(spark, folder, ["course_ref"]).withColumn("sector", F.lit("B1")), root)
+    sinks.write_results(tagged_results(spark, folder, ["course_ref"]), root, "B1")
     return (
         scans.read_results(spark, root)
         .groupBy("bucket")
@@ -208,8 +207,8 @@ def sink_routed(spark: SparkSession, folder: str) -> DataFrame:
     root = scratch_path(spark, "routed")
     topics = t.topics(spark, folder)
     rows = t.routed(spark, folder).withColumn("level", F.col("answer1"))
-    bucketed = bucket_round1(rows, topics, F.lit(False)).withColumn("sector", F.lit("B1"))
-    sinks.write_buckets(bucketed.select("sector", "bucket", "course_ref", "skill_title", "level"), root)
+    bucketed = bucket_round1(rows, topics, F.lit(False))
+    sinks.write_results(bucketed.select("bucket", "course_ref", "skill_title", "level"), root, "B1")
     return scans.read_results(spark, root)
 
 
