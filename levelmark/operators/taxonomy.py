@@ -55,35 +55,51 @@ def distinct_items(framework: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
-def skill_info(items: DataFrame) -> DataFrame:
+def page_of(position: Column, order: list[str], page_rows: int) -> Column:
+    """Page of a source position; the last column of `order` is an integer, so
+    a page holds at most `page_rows` positions."""
+    *leading, last = [position[c] for c in order]
+    named = [c.alias(n) for c, n in zip(leading, order)]
+    return F.struct(*named, F.floor(last / page_rows).cast("bigint").alias("page"))
+
+
+def skill_pages(items: DataFrame, order: list[str], page_rows: int = PAGE_ROWS) -> DataFrame:
     """Per topic and level: first description, distinct knowledge and ability
-    items in first-seen order, from `distinct_items`."""
+    items in first-seen order, from `distinct_items`. One row per page of source
+    positions: an item counts where it is first seen, so a page stays small
+    however many items a topic has."""
 
     def listed(item_class: str) -> Column:
         wanted = (F.col("item_class") == item_class) & F.col("item").isNotNull()
         cells = F.collect_list(F.when(wanted, F.struct(F.col("first.pos").alias("pos"), "item")))
         return F.transform(F.array_sort(cells), lambda cell: cell["item"])
 
-    return items.groupBy("skill_key", "level").agg(
-        F.min("first").alias("first"),
-        listed("knowledge").alias("knowledge"),
-        listed("ability").alias("ability"),
-    ).select(
-        "skill_key",
-        "level",
-        F.col("first.pos").alias("pos"),
-        F.col("first.level_descr").alias("level_descr"),
-        "knowledge",
-        "ability",
+    page = page_of(F.col("first.pos"), order, page_rows)
+    return items.groupBy("skill_key", "level", page.alias("page")).agg(
+        F.min("first").alias("first"), listed("knowledge").alias("knowledge"), listed("ability").alias("ability")
+    )
+
+
+def skill_info(pages: DataFrame) -> DataFrame:
+    """Pages of each topic and level put together; for topics known to be small
+    enough for a prompt."""
+
+    def joined(lists: str) -> Column:
+        in_order = F.array_sort(F.collect_list(F.struct("page", lists)))
+        return F.flatten(F.transform(in_order, lambda cell: cell[lists]))
+
+    whole = pages.groupBy("skill_key", "level").agg(
+        F.min("first").alias("first"), joined("knowledge").alias("knowledge"), joined("ability").alias("ability")
     )
+    return whole.select("skill_key", "level", "first.*", "knowledge", "ability")
 
 
 def knowledge_pages(framework: DataFrame, order: list[str], page_rows: int = PAGE_ROWS) -> DataFrame:
     """Items per topic and level joined in source order, repeats kept, nulls as
-    empty text; one row per page of `page_rows` source positions, so no group
-    grows with the topic. The last column of `order` is an integer position."""
+    empty text; one row per page of source positions, so no group grows with
+    the topic."""
     position = ", ".join(f"`{c}`" for c in order)
-    page = F.struct(*order[:-1], F.floor(F.col(order[-1]) / page_rows).cast("bigint").alias("page"))
+    page = page_of(F.struct(*order), order, page_rows)
     joined = f"listagg(coalesce(item, ''), '{ITEM_SEPARATOR}') WITHIN GROUP (ORDER BY {position})"
     return leveled(framework).groupBy("skill_key", "level", page.alias("page")).agg(F.expr(joined).alias("items"))
 

@@ -102,12 +102,17 @@ def promote(rows: DataFrame) -> DataFrame:
 
 
 def published(r1: DataFrame, r2: DataFrame) -> DataFrame:
-    """Rows of the three published results, told apart by `bucket`."""
-    r2_valid = r2.where(F.col("bucket") == "r2_valid")
-    r2_failed = r2.where(F.col("bucket").isin("r2_invalid", "r2_untagged"))
-    tagged = r1.where(F.col("bucket") == "r1_valid").unionByName(promote(r2_valid), allowMissingColumns=True)
-    return (
-        r2_valid.withColumn("bucket", F.lit("valid"))
-        .unionByName(r2_failed.withColumn("bucket", F.lit("invalid")))
-        .unionByName(tagged.withColumn("bucket", F.lit("all_tagged")), allowMissingColumns=True)
+    """Rows of the three published results, told apart by `bucket`; one pass
+    over each round."""
+    results = (
+        F.when(F.col("bucket") == "r2_valid", F.array(F.lit("valid"), F.lit("all_tagged")))
+        .when(F.col("bucket").isin("r2_invalid", "r2_untagged"), F.array(F.lit("invalid")))
     )
+    second = r2.withColumn("bucket", F.explode(results))
+    for name in ("level", "reason", "confidence"):
+        # In "all_tagged" the second answer takes the place of the first.
+        tagged = F.col("bucket") == "all_tagged"
+        second = second.withColumn(name, F.when(tagged, F.col(f"{name}2")).otherwise(F.col(name)))
+        second = second.withColumn(f"{name}2", F.when(~tagged, F.col(f"{name}2")))
+    first = r1.where(F.col("bucket") == "r1_valid").withColumn("bucket", F.lit("all_tagged"))
+    return first.unionByName(second, allowMissingColumns=True)

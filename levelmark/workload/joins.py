@@ -171,18 +171,20 @@ def agg_level_set_title(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH {t.FRAMEWORK_SQL},
-items AS (SELECT skill_key, level, item_class, item, min(ord) AS o FROM topics GROUP BY ALL),
-descr AS (SELECT skill_key, level, arg_min(level_descr, ord) AS level_descr FROM topics GROUP BY ALL)
-SELECT d.skill_key, d.level, d.level_descr,
+items AS (
+  SELECT skill_key, level, item_class, item, min(ord) AS o, arg_min(level_descr, ord) AS level_descr
+  FROM topics GROUP BY ALL)
+SELECT skill_key, level, CAST(o // {PAGE} AS BIGINT) AS page, arg_min(level_descr, o) AS level_descr,
   coalesce(string_agg(item, '|' ORDER BY o) FILTER (WHERE item_class = 'knowledge' AND item IS NOT NULL), '') AS knowledge,
   coalesce(string_agg(item, '|' ORDER BY o) FILTER (WHERE item_class = 'ability' AND item IS NOT NULL), '') AS ability
-FROM descr d JOIN items i ON d.skill_key = i.skill_key AND d.level = i.level GROUP BY ALL""")
+FROM items GROUP BY skill_key, level, o // {PAGE}""")
 def agg_skill_info(spark: SparkSession, folder: str) -> DataFrame:
-    info = taxonomy.skill_info(taxonomy.distinct_items(t.topics(spark, folder), t.FRAMEWORK_ORDER))
-    return info.select(
+    items = taxonomy.distinct_items(t.topics(spark, folder), t.FRAMEWORK_ORDER)
+    return taxonomy.skill_pages(items, t.FRAMEWORK_ORDER, PAGE).select(
         "skill_key",
         "level",
-        "level_descr",
+        "page.page",
+        "first.level_descr",
         F.array_join("knowledge", "|").alias("knowledge"),
         F.array_join("ability", "|").alias("ability"),
     )

@@ -61,7 +61,8 @@ FROM routed r LEFT JOIN pairs p ON r.skill_key = p.skill_key AND answer1 = p.lev
 def round1(spark: SparkSession, folder: str) -> DataFrame:
     topics = t.topics(spark, folder)
     fits = fits_broadcast(level_pairs(topics))
-    work = prepare_work(t.listing(spark, folder), topics, t.ORDER, ["about"], fits=fits)
+    # Read twice below, as rows and as answers.
+    work = written(prepare_work(t.listing(spark, folder), topics, t.ORDER, ["about"], fits=fits), "work")
     tagged = tag_round1(work, fixed_answers(work, "work_id", "answer1", "proficiency_level"), topics, fits=fits)
     return tagged.select("course_ref", "skill_key", "level", "bucket")
 
@@ -175,7 +176,6 @@ def resume_equals_full(spark: SparkSession, folder: str) -> DataFrame:
         order=t.ORDER,
         required=["about"],
         framework_order=t.FRAMEWORK_ORDER,
-        tasks=spark.sparkContext.defaultParallelism,
     )
     work = prepare_work(t.listing(spark, folder), topics, t.ORDER, ["about"]).where("relevance = 'In Sector'")
     prompts = sc.prompts1(work, topics)

@@ -132,8 +132,10 @@ def test_levels_per_topic(topics):
     assert firsts == {"excel": [1], "sql": [3]}
 
 
-def test_skill_info_keeps_first_seen_order(topics):
-    info = {(r["skill_key"], r["level"]): r for r in taxonomy.skill_info(taxonomy.distinct_items(topics, ["ord"])).collect()}
+@pytest.mark.parametrize("page_rows", [1, 2, 100])
+def test_skill_info_keeps_first_seen_order(topics, page_rows):
+    pages = taxonomy.skill_pages(taxonomy.distinct_items(topics, ["ord"]), ["ord"], page_rows)
+    info = {(r["skill_key"], r["level"]): r for r in taxonomy.skill_info(pages).collect()}
     excel = info["excel", 1]
     assert (excel["level_descr"], excel["knowledge"], excel["ability"]) == ("first", ["open files", "save files"], [])
     assert info["sql", 3]["knowledge"] == []  # the class is compared exactly
@@ -192,9 +194,10 @@ def test_relevance_without_broadcast(spark, work, topics):
     }
 
 
-def test_lexical_levels(work, topics):
-    levels = {r["work_id"]: r["level"] for r in lexical_levels(work, topics, "course_text", ["work_id"], ["ord"]).collect()}
-    assert levels == {"w1": 1, "w2": 0, "w3": 0}
+@pytest.mark.parametrize("max_topic_bytes", [1, 300, 1 << 20])
+def test_lexical_levels_do_not_depend_on_the_topic_size(work, topics, max_topic_bytes):
+    scored = lexical_levels(work, topics, "course_text", ["work_id"], ["ord"], max_topic_bytes)
+    assert {r["work_id"]: r["level"] for r in scored.collect()} == {"w1": 1, "w2": 0, "w3": 0}
 
 
 def prompts_of(spark, n, parts=1):

@@ -84,7 +84,7 @@ def settings(calls, **kwargs):
         make_scorer1=calls.make(LEVELS1, "proficiency_level", fail),
         make_scorer2=calls.make(LEVELS2, "proficiency"),
         order=FILE_ORDER,
-        tasks=2,
+        partitions=2,
         **kwargs,
     )
 
