@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from levelmark.sources.shared import written
+
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_ROWS = 1_000_000
@@ -50,9 +52,13 @@ def salted_join(
     `how` is inner, left, left_semi or left_anti. `hot` may come from a cheaper
     table holding at least the rows of `left`. Only hot keys of `right` are
     repeated, and the salt is a hash of row values, so retried tasks agree.
+    The hot keys are counted first; without any, this is a plain join.
     """
     if hot is None:
         hot = hot_keys(left, on, hot_rows)
+    hot = written(hot, "hot")
+    if hot.isEmpty():
+        return left.join(right, on, how)
     hot = F.broadcast(hot)
     salt = F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")
     spread = (

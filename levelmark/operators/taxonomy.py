@@ -8,8 +8,8 @@ from levelmark.operators.joins import BROADCAST_BYTES, BROADCAST_ROWS
 from levelmark.reference_values import ITEM_SEPARATOR
 
 PAGE_ROWS = 10_000
-# Longest text per topic put into one prompt; far above any model's context.
-MAX_TOPIC_BYTES = 32 * 1024 * 1024
+# Longest text per topic put into one prompt; above the context of chat models.
+MAX_TOPIC_BYTES = 8 * 1024 * 1024
 # Allowance for the fixed words around an item in a prompt.
 ITEM_OVERHEAD = 128
 
@@ -56,11 +56,11 @@ def distinct_items(framework: DataFrame, order: list[str]) -> DataFrame:
 
 
 def page_of(position: Column, order: list[str], page_rows: int) -> Column:
-    """Page of a source position; the last column of `order` is an integer, so
-    a page holds at most `page_rows` positions."""
+    """Page of a source position, named by its start. The last column of `order`
+    is an integer, so a page holds at most `page_rows` positions."""
     *leading, last = [position[c] for c in order]
     named = [c.alias(n) for c, n in zip(leading, order)]
-    return F.struct(*named, F.floor(last / page_rows).cast("bigint").alias("page"))
+    return F.struct(*named, (last - last % page_rows).cast("bigint").alias("page"))
 
 
 def skill_pages(items: DataFrame, order: list[str], page_rows: int = PAGE_ROWS) -> DataFrame:

@@ -174,10 +174,10 @@ def agg_level_set_title(spark: SparkSession, folder: str) -> DataFrame:
 items AS (
   SELECT skill_key, level, item_class, item, min(ord) AS o, arg_min(level_descr, ord) AS level_descr
   FROM topics GROUP BY ALL)
-SELECT skill_key, level, CAST(o // {PAGE} AS BIGINT) AS page, arg_min(level_descr, o) AS level_descr,
+SELECT skill_key, level, CAST(o - o % {PAGE} AS BIGINT) AS page, arg_min(level_descr, o) AS level_descr,
   coalesce(string_agg(item, '|' ORDER BY o) FILTER (WHERE item_class = 'knowledge' AND item IS NOT NULL), '') AS knowledge,
   coalesce(string_agg(item, '|' ORDER BY o) FILTER (WHERE item_class = 'ability' AND item IS NOT NULL), '') AS ability
-FROM items GROUP BY skill_key, level, o // {PAGE}""")
+FROM items GROUP BY skill_key, level, o - o % {PAGE}""")
 def agg_skill_info(spark: SparkSession, folder: str) -> DataFrame:
     items = taxonomy.distinct_items(t.topics(spark, folder), t.FRAMEWORK_ORDER)
     return taxonomy.skill_pages(items, t.FRAMEWORK_ORDER, PAGE).select(
@@ -191,7 +191,7 @@ def agg_skill_info(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH {t.FRAMEWORK_SQL}
-SELECT skill_key, level, CAST(ord // {PAGE} AS BIGINT) AS page, string_agg(coalesce(item, ''), ', ' ORDER BY ord) AS items
+SELECT skill_key, level, CAST(ord - ord % {PAGE} AS BIGINT) AS page, string_agg(coalesce(item, ''), ', ' ORDER BY ord) AS items
 FROM topics GROUP BY ALL""")
 def agg_knowledge_base(spark: SparkSession, folder: str) -> DataFrame:
     pages = taxonomy.knowledge_pages(t.topics(spark, folder), t.FRAMEWORK_ORDER, PAGE)

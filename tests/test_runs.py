@@ -140,6 +140,10 @@ def test_resume_scores_only_what_is_pending(spark, inputs, calls, tmp_path):
         assert again.count(call) - first.count(call) == (2 if call == "proficiency_level T1" else 0)
     assert outcome(run(spark, inputs, root, settings(calls))) == EXPECTED
     assert calls.seen() == again
+    RunStore(spark, root).clear()
+    assert RunStore(spark, root).state().count() == 0
+    assert outcome(run(spark, inputs, root, settings(calls))) == EXPECTED
+    assert len(calls.seen()) > len(again)
 
 
 def test_work_cap_leaves_the_rest_pending(spark, inputs, calls, tmp_path):
