@@ -48,10 +48,10 @@ def is_list_like(c: Column) -> Column:
     )
     # The array wrapping rejects text that closes the list and adds another field.
     single = F.json_array_length(F.concat(F.lit("["), cell, F.lit("]"))) == 1
-    strict = wrapped["v"].isNotNull() & wrapped["_bad"].isNull() & single
-    # Only bracketed cells are parsed at all.
+    strict = wrapped["v"].isNotNull() & wrapped["_bad"].isNull()
+    # The cheaper tests first: most cells are plain names.
     bracketed = cell.startswith("[") & cell.endswith("]")
-    return F.coalesce(F.when(bracketed, strict), F.lit(False))
+    return F.coalesce(F.when(bracketed & single, strict), F.lit(False))
 
 
 def parse_list_cell(c: Column) -> Column:
