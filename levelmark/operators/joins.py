@@ -1,15 +1,26 @@
 """Joins that stay even under hot keys and broadcast only what was measured."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from levelmark.sources.shared import written
 
-BROADCAST_ROWS = 1_000_000
-BROADCAST_BYTES = 64 * 1024 * 1024
-HOT_ROWS = 1_000_000
-SALTS = 64
+# Defaults of the session settings of the same names.
+SETTINGS = {
+    "spark.levelmark.broadcastRows": 1_000_000,
+    "spark.levelmark.broadcastBytes": 64 * 1024 * 1024,
+    "spark.levelmark.hotRows": 1_000_000,
+    "spark.levelmark.salts": 64,
+}
+
+
+def setting(spark: SparkSession, name: str, value: int | None = None) -> int:
+    """The given value, else the session's, else the default."""
+    if value is not None:
+        return value
+    key = f"spark.levelmark.{name}"
+    return int(spark.conf.get(key, str(SETTINGS[key])))
 
 
 def row_bytes(df: DataFrame):
@@ -25,14 +36,19 @@ def row_bytes(df: DataFrame):
     return total
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+def within_limits(spark: SparkSession, rows: int, size: int, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
+    return rows <= setting(spark, "broadcastRows", max_rows) and size <= setting(spark, "broadcastBytes", max_bytes)
+
+
+def fits_broadcast(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
     """Measures rows and bytes in one job; a single row comes back."""
     size = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("b")).first()
-    return size["n"] <= max_rows and size["b"] <= max_bytes
+    return within_limits(df.sparkSession, size["n"], size["b"], max_rows, max_bytes)
 
 
-def hot_keys(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def hot_keys(df: DataFrame, on: list[str], hot_rows: int | None = None) -> DataFrame:
     """Keys with more than `hot_rows` rows: at most rows / hot_rows of them."""
+    hot_rows = setting(df.sparkSession, "hotRows", hot_rows)
     counts = df.groupBy(*on).agg(F.count("*").alias("_n"))
     return counts.where(F.col("_n") > hot_rows).select(*on, F.lit(True).alias("_hot"))
 
@@ -44,8 +60,8 @@ def salted_join(
     how: str,
     salt_by: list[str],
     hot: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
+    hot_rows: int | None = None,
+    salts: int | None = None,
 ) -> DataFrame:
     """Shuffle join whose hot left keys are spread over `salts` partitions.
 
@@ -60,6 +76,7 @@ def salted_join(
     if hot.isEmpty():
         return left.join(right, on, how)
     hot = F.broadcast(hot)
+    salts = setting(left.sparkSession, "salts", salts)
     salt = F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")
     spread = (
         left.join(hot, on, "left")
@@ -77,9 +94,9 @@ def lookup_join(
     on: list[str],
     how: str,
     salt_by: list[str],
-    max_rows: int = BROADCAST_ROWS,
-    max_bytes: int = BROADCAST_BYTES,
-    hot_rows: int = HOT_ROWS,
+    max_rows: int | None = None,
+    max_bytes: int | None = None,
+    hot_rows: int | None = None,
     fits: bool | None = None,
 ) -> DataFrame:
     """Join to a table derived from the taxonomy: broadcast when its measured

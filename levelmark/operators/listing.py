@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from levelmark.functions.text import is_list_like, normalise_key, parse_list_cell, strip
 from levelmark.operators.dedupe import keep_first
-from levelmark.operators.joins import HOT_ROWS, hot_keys, salted_join
+from levelmark.operators.joins import hot_keys, salted_join
 from levelmark.schemas import DESCRIPTION_COLUMNS
 
 OLD_SKILL_COLUMN = "Skills Title 2K"  # fixed value
@@ -50,7 +50,7 @@ def extract_list_skills(
     order: list[str],
     keep_plain: bool = False,
     hot: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """One row per skill of every list cell, with the course's first
     description; plain rows only on request."""
@@ -96,7 +96,7 @@ def attach_descriptions(
     descriptions: DataFrame,
     salt_by: list[str],
     hot: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Left join on the course; the joined description wins, the row's own one
     fills gaps, and either side may lack a column."""

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from levelmark.operators.joins import HOT_ROWS, lookup_join, salted_join
+from levelmark.operators.joins import lookup_join, salted_join
 from levelmark.operators.taxonomy import level_pairs, topic_keys
 
 # The two relevance flags.
@@ -41,7 +41,7 @@ def level_violations(tagged: DataFrame, framework: DataFrame, level: str = "leve
 
 
 def join_answers(
-    rows: DataFrame, answers: DataFrame, on: list[str], how: str, salt_by: list[str], hot_rows: int = HOT_ROWS
+    rows: DataFrame, answers: DataFrame, on: list[str], how: str, salt_by: list[str], hot_rows: int | None = None
 ) -> DataFrame:
     """Rows to their answers; copies of one content may be most of the rows."""
     return salted_join(rows, answers, on, how, salt_by, hot_rows=hot_rows)

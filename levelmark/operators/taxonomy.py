@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from levelmark.functions.text import normalise_key
-from levelmark.operators.joins import BROADCAST_BYTES, BROADCAST_ROWS
+from levelmark.operators.joins import within_limits
 from levelmark.reference_values import ITEM_SEPARATOR
 
 PAGE_ROWS = 10_000
@@ -122,7 +122,7 @@ def split_by_size(rows: DataFrame, text: str, max_topic_bytes: int = MAX_TOPIC_B
         F.coalesce(F.sum("b"), F.lit(0)).alias("total"),
         F.coalesce(F.max("b"), F.lit(0)).alias("largest"),
     ).first()
-    fits = seen["n"] <= BROADCAST_ROWS and seen["total"] <= BROADCAST_BYTES
+    fits = within_limits(rows.sparkSession, seen["n"], seen["total"])
     if seen["largest"] <= max_topic_bytes:
         return rows, None, fits
     # At most total / max_topic_bytes topics are oversized.

@@ -5,7 +5,6 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from levelmark.functions.text import file_name
 from levelmark.schemas import FRAMEWORK_COLUMNS, LISTING_COLUMNS, listing_schema, shorten
 
 # Framework files start with the prefix, listings do not (path globs).
@@ -86,8 +85,7 @@ def with_empty_files(files: DataFrame) -> DataFrame:
 
 def latest_file(files: DataFrame, by_time: bool = False) -> DataFrame:
     """Last file by name, or by time and then name."""
-    name = file_name(F.col("path"))
-    rank = F.struct("modificationTime", name) if by_time else F.struct(name, "path")
+    rank = F.struct("modificationTime", "path") if by_time else F.col("path")
     return files.agg(F.max_by("path", rank).alias("path"))
 
 

@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from levelmark.functions.text import file_name
 from levelmark.plans.rounds import bucket_round1
 from levelmark.reference_values import LEVEL_CHART, LEVEL_CHART_FIELDS, SECTORS, level_chart, sector_dimension
 from levelmark.schemas import FRAMEWORK_COLUMNS, LISTING_COLUMNS, publish
@@ -109,27 +108,53 @@ def scan_results(spark: SparkSession, folder: str) -> DataFrame:
     return scans.read_results(spark, root, "valid").select("course_ref", "skill_title", "bucket")
 
 
-@query()
+def yearly_files(spark: SparkSession, folder: str) -> str:
+    """One small CSV file and one Parquet file per year of the orders."""
+    root = scratch_path(spark, "years")
+    orders = t.table(spark, folder, "orders").select(F.year("o_orderdate").alias("year"), "o_orderstatus")
+    # Counted first: what is brought together per year is one row per status.
+    counts = orders.groupBy("year", "o_orderstatus").agg(F.count("*").alias("n")).repartition("year")
+    counts.write.partitionBy("year").option("header", True).csv(f"{root}/csv")
+    counts.write.partitionBy("year").parquet(f"{root}/parquet")
+    return root
+
+
+YEAR_FOLDER = r"/(\w+/year=\d+)/"
+YEARS_SQL = "years AS (SELECT DISTINCT year(o_orderdate) AS y FROM orders)"
+
+
+@query(f"""WITH {YEARS_SQL}
+SELECT kind || '/year=' || CAST(y AS VARCHAR) AS folder, 1::BIGINT AS n_files, true AS filled
+FROM years, (VALUES ('csv'), ('parquet')) AS k(kind)""")
 def file_listing(spark: SparkSession, folder: str) -> DataFrame:
-    files = scans.list_files(spark, folder, "*.parquet")
-    return files.select(file_name(F.col("path")).alias("file"), "length")
+    files = scans.list_files(spark, yearly_files(spark, folder), "part-*")
+    return files.groupBy(F.regexp_extract("path", YEAR_FOLDER, 1).alias("folder")).agg(
+        F.count("*").alias("n_files"), (F.min("length") > 0).alias("filled")
+    )
 
 
-@query()
+@query(f"WITH {YEARS_SQL} SELECT 'csv/year=' || CAST(max(y) AS VARCHAR) AS folder FROM years")
 def latest_file(spark: SparkSession, folder: str) -> DataFrame:
-    files = scans.list_files(spark, folder, "*.parquet")
-    return scans.latest_file(files).select(file_name(F.col("path")).alias("file"))
+    files = scans.list_files(spark, yearly_files(spark, folder), "*.csv")
+    return scans.latest_file(files).select(F.regexp_extract("path", YEAR_FOLDER, 1).alias("folder"))
 
 
-@query()
+@query(f"""WITH {YEARS_SQL}
+SELECT 'csv/year=' || CAST(y AS VARCHAR) AS folder, true AS size_ok, false AS empty_ok FROM years""")
 def size_ok(spark: SparkSession, folder: str) -> DataFrame:
-    files = scans.size_check(scans.list_files(spark, folder, "*.parquet"), max_mb=1)
-    return files.select(file_name(F.col("path")).alias("file"), "length", "size_ok")
+    """Every file passes the default limit and none passes a limit of 0."""
+    files = scans.size_check(scans.list_files(spark, yearly_files(spark, folder), "*.csv"))
+    none = scans.size_check(files.withColumnRenamed("size_ok", "ok"), max_mb=0)
+    return none.select(
+        F.regexp_extract("path", YEAR_FOLDER, 1).alias("folder"), F.col("ok").alias("size_ok"), F.col("size_ok").alias("empty_ok")
+    )
 
 
-@query()
+@query(f"""WITH {YEARS_SQL}
+SELECT suffix, count(*) AS n_files, count(*) FILTER (WHERE suffix = 'csv') AS n_convertible
+FROM years, (VALUES ('csv'), ('parquet')) AS k(suffix) GROUP BY suffix""")
 def conversion_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return profiles.extension_counts(scans.list_files(spark, folder))
+    return profiles.extension_counts(scans.list_files(spark, yearly_files(spark, folder), "part-*"))
 
 
 SECTORS_SQL = "sectors(position, alias, full_name) AS (VALUES %s)" % ", ".join(

@@ -223,6 +223,7 @@ def test_file_listings(spark, tmp_path):
     counts = {r["suffix"]: (r["n_files"], r["n_convertible"]) for r in profiles.extension_counts(every).collect()}
     assert counts == {"csv": (3, 3), "parquet": (1, 0)}
     assert scans.latest_file(files).first()["path"].endswith("b_20250102.csv")
+    assert scans.latest_file(files, by_time=True).count() == 1
     assert scans.size_check(files, max_mb=0).where("size_ok").count() == 0
 
 
