@@ -18,7 +18,7 @@ from levelmark.operators.listing import (
     mixed_formats,
 )
 from levelmark.operators.progress import eta_seconds, eta_text
-from levelmark.operators.prompts import TOO_LONG, round1_prompts, round2_prompts
+from levelmark.operators.prompts import TOO_LONG, knowledge_texts, level_texts, round1_prompts, round2_prompts
 from levelmark.operators.routing import flag_relevance
 from levelmark.operators.scoring import lexical_levels, score
 
@@ -163,7 +163,7 @@ def work(spark):
 
 
 def test_round1_prompt(work, topics):
-    rows = {r["work_id"]: r for r in round1_prompts(work, topics, ["ord"], ["work_id"]).collect()}
+    rows = {r["work_id"]: r for r in round1_prompts(work, level_texts(topics, ["ord"]), ["work_id"]).collect()}
     assert rows["w1"]["prompt"].startswith('Determine the appropriate proficency level for skill: "Excel", based on')
     block = "Proficiency Level: 2\nProficiency Description: second\nKnowledge Items:\nAbility Items:\n- format cells\n\n"
     assert block + "Proficiency Level: 1\nProficiency Description: first\n" in rows["w1"]["prompt"]
@@ -172,14 +172,15 @@ def test_round1_prompt(work, topics):
 
 
 def test_setup_chooses_the_item_lists(work, topics):
-    only = round1_prompts(work, topics, ["ord"], ["work_id"], setup=1).where("work_id = 'w1'").first()["prompt"]
+    only = round1_prompts(work, level_texts(topics, ["ord"], setup=1), ["work_id"]).where("work_id = 'w1'").first()["prompt"]
     assert "Knowledge Items:" in only and "Ability Items:" not in only
 
 
 def test_oversized_topics_fail_alone(work, topics):
     limit = 2 * taxonomy.ITEM_OVERHEAD + 30
-    for build in (round1_prompts, round2_prompts):
-        rows = {r["work_id"]: r for r in build(work, topics, ["ord"], ["work_id"], max_topic_bytes=limit).collect()}
+    for build, texts in ((round1_prompts, level_texts), (round2_prompts, knowledge_texts)):
+        prompts = build(work, texts(topics, ["ord"], max_topic_bytes=limit), ["work_id"])
+        rows = {r["work_id"]: r for r in prompts.collect()}
         assert len(rows) == 3
         assert rows["w1"]["prompt"] is None and rows["w1"]["prompt_error"] == TOO_LONG
         assert rows["w2"]["prompt"] is not None and rows["w2"]["prompt_error"] is None
