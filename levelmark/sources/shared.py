@@ -11,14 +11,14 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder named by the session; a local session without one gets its own."""
-    path = spark.conf.get(CHECKPOINT_SETTING, None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
-    path = tempfile.mkdtemp(prefix="levelmark-")
-    spark.conf.set(CHECKPOINT_SETTING, path)
-    return path
+    context = spark.sparkContext
+    path = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
+    if not path:
+        if not context.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="levelmark-"))
+        path = context.getCheckpointDir()
+    return path.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -239,3 +239,33 @@ def framework_like():
     from pyspark.sql import types as T
 
     return T.StructType([T.StructField("n", T.IntegerType()), T.StructField("s", T.StringType())])
+
+
+class Context:
+    def __init__(self, master):
+        self.master, self.folder = master, None
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+class Session:
+    """A session with or without a named folder."""
+
+    def __init__(self, master, folder=None):
+        self.sparkContext, self.folder = Context(master), folder
+        self.conf = self
+
+    def get(self, key, default=None):
+        return self.folder if key == "spark.checkpoint.dir" else default
+
+
+def test_shared_folder_comes_from_the_session():
+    assert shared_dir(Session("spark://host", "hdfs:///shared/")) == "hdfs:///shared"
+    local = Session("local[2]")
+    assert shared_dir(local) == shared_dir(local) != ""
+    with pytest.raises(ValueError):
+        shared_dir(Session("spark://host"))
