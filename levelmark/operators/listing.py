@@ -54,18 +54,19 @@ def extract_list_skills(
 ) -> DataFrame:
     """One row per skill of every list cell, with the course's first
     description; plain rows only on request."""
-    parsed = listing.withColumn("_skills", parse_list_cell(F.col("skill_title")))
-    lists = parsed.where(F.size("_skills") > 0).select("course_ref", *order_only(order), "_skills")
+    position = order_only(order)
+    # Cells without a list and empty lists give no rows.
+    skills = listing.select("course_ref", *position, F.explode(parse_list_cell(F.col("skill_title"))).alias("skill_title"))
     with_meta = salted_join(
-        lists,
+        skills,
         course_descriptions(listing, order),
         ["course_ref"],
         "left",
-        salt_by=order_only(order) or ["_skills"],
+        salt_by=[*position, "skill_title"],
         hot=hot_keys(listing, ["course_ref"], hot_rows) if hot is None else hot,
     )
-    columns = ["course_ref", "skill_title", *DESCRIPTION_COLUMNS, *order_only(order)]
-    exploded = with_meta.withColumn("skill_title", F.explode("_skills")).select(*columns)
+    columns = ["course_ref", "skill_title", *DESCRIPTION_COLUMNS, *position]
+    exploded = with_meta.select(*columns)
     if not keep_plain:
         return exploded
     plain = listing.where(~F.coalesce(F.col("skill_title").startswith("["), F.lit(False)))

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from levelmark.functions.text import file_name, file_stem, title_format_ok
+from levelmark.functions.text import file_name, file_stem, parse_list_cell, title_format_ok
 from levelmark.reference_values import sector_dimension
 
 # Rule, column, number of bad rows (an aggregate), message.
@@ -93,6 +93,13 @@ def all_null(df: DataFrame, dataset: str, columns: list[str]) -> DataFrame:
     return _counted(df, dataset, [all_null_check(c) for c in columns])
 
 
+def list_cell_check(column: str = "skill_title") -> Check:
+    """Cells that start a list but are none: they would give no skills."""
+    cell = F.col(column)
+    unreadable = cell.startswith("[") & parse_list_cell(cell).isNull()
+    return ("list_cell", column, F.count_if(unreadable), "starts like a list but cannot be read as one")
+
+
 def bad_titles(listing: DataFrame) -> DataFrame:
     """Distinct titles of unknown format with their number of rows."""
     return listing.where(~title_format_ok(F.col("skill_title"))).groupBy("skill_title").agg(F.count("*").alias("n_bad"))
@@ -111,7 +118,7 @@ def listing_report(df: DataFrame, dataset: str, expected: list[str], text_column
     checks = [*column_checks(df, expected), *text_checks(df, text_columns), no_rows_check()]
     checks += [all_null_check(c) for c in ("course_ref", "course_title") if c in df.columns]
     if "skill_title" in df.columns:
-        checks.append(title_format_check())
+        checks += [title_format_check(), list_cell_check()]
     return _counted(df, dataset, checks)
 
 

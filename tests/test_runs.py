@@ -184,11 +184,16 @@ def test_sources_and_sinks(spark, inputs, tmp_path):
     li = scans.read_listing(spark, inputs, ["Course Reference Number", "Skill Title"])
     assert li.columns == ["course_ref", "skill_title", *FILE_ORDER] and li.count() == 8
 
-    texts = [("c", 'say "hi", \n twice', " edge ", "", None)]
+    texts = [
+        ("c1", 'say "hi", \n twice', " edge ", "", None),
+        ("c2", "a\r\nb\rc", "back\\", 'q\\"q"', "#x"),
+        ("c3", "é　日本", "\t", "'", ","),
+    ]
     df = spark.createDataFrame(texts, listing_schema())
     sinks.write_csv(df, f"{tmp_path}/csv")
-    back = scans.read_csv(spark, f"{tmp_path}/csv").first()
-    assert tuple(back)[:3] == texts[0][:3]
+    back = scans.read_csv(spark, f"{tmp_path}/csv").orderBy("`Course Reference Number`").collect()
+    # CSV cannot tell empty text from null.
+    assert [tuple(r) for r in back] == [tuple(c or None for c in row) for row in texts]
 
     root = f"{tmp_path}/buckets"
     for alias, rows in [("HR", [("valid", 1), ("invalid", 2)]), ("FIN", [("valid", 3)]), ("HR", [("valid", 9)])]:
@@ -198,15 +203,15 @@ def test_sources_and_sinks(spark, inputs, tmp_path):
 
     sinks.write_inputs(df, df, f"{tmp_path}/stored", "20250101_0000")
     sinks.write_inputs(df, df, f"{tmp_path}/stored", "20250102_0000")
-    assert scans.read_role(spark, f"{tmp_path}/stored", "listing").count() == 2
+    assert scans.read_role(spark, f"{tmp_path}/stored", "listing").count() == 6
 
     empty = df.where("false")
     sinks.write_parquet(empty, f"{tmp_path}/empty")
     assert scans.read_parquet(spark, f"{tmp_path}/empty", ["Skill Title"]).count() == 0
-    assert written(df, "copy").count() == 1
+    assert written(df, "copy").count() == 3
     assert shared_dir(spark)
     bytes_ = profiles.parquet_bytes(spark, f"{tmp_path}/stored").first()
-    assert bytes_["n_files"] == 4 and bytes_["bytes"] > 0
+    assert bytes_["n_files"] >= 4 and bytes_["bytes"] > 0
 
 
 def test_file_listings(spark, tmp_path):
