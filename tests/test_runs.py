@@ -1,6 +1,7 @@
 """Stored runs: invariants, resume, streaming, sources and sinks."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -274,3 +275,91 @@ def test_shared_folder_comes_from_the_session():
     assert shared_dir(local) == shared_dir(local) != ""
     with pytest.raises(ValueError):
         shared_dir(Session("spark://host"))
+
+
+def brute_force(framework, listing):
+    """Both rounds row by row in plain Python."""
+    levels = {}
+    for _, _, sector, _, title, _, level, *_ in framework:
+        if sector == "Human Resource":
+            levels.setdefault(title.lower().strip(), set()).add(level)
+    first, descr = {}, {}
+    for ref, title, *texts in listing:
+        descr.setdefault(ref, texts)
+        if title is not None:
+            first.setdefault((ref, title.lower().strip()), (title, texts))
+    buckets = {}
+    for (ref, key), (title, texts) in first.items():
+        if None in texts:
+            continue
+        if key not in levels:
+            buckets[ref, key] = "irrelevant"
+        elif first_level(title, texts[0]) in levels[key]:
+            buckets[ref, key] = "all_tagged"
+        else:
+            course = [new if new is not None else own for new, own in zip(descr[ref], texts)]
+            level = second_level(f"{course[0]} |: {course[1]} | {course[2]}")
+            buckets[ref, key] = "valid" if level in levels[key] else "invalid"
+    return buckets
+
+
+def first_level(title, course_title):
+    return (len(title) + len(course_title)) % 4
+
+
+def second_level(text):
+    return len(text) % 5
+
+
+def scorers():
+    """Nested, so that they reach the workers by value."""
+
+    def make1():
+        import re
+
+        def call(system, prompt):
+            title, course = re.match(r'.*for skill: "(.*?)", based .* of a course: (.*?), Course', prompt, re.S).groups()
+            return json.dumps({"proficiency_level": (len(title) + len(course)) % 4})
+
+        return call
+
+    def make2():
+        return lambda system, prompt: json.dumps({"proficiency": len(prompt.split("“")[1].split("”")[0]) % 5})
+
+    return make1, make2
+
+
+@pytest.mark.parametrize("seed, forced", [(1, {}), (2, {"broadcastRows": "0", "hotRows": "5", "salts": "3"})])
+def test_random_listing_against_brute_force(spark, tmp_path, seed, forced):
+    rng = random.Random(seed)
+    titles = ["Excel", " EXCEL", "excel\t", "SQL", "sql ", "Cooking", "Golf", None]
+
+    def text(prefix):
+        return prefix + "x" * rng.randrange(6) if rng.random() > 0.1 else None
+
+    listing = [
+        ("hot" if rng.random() < 0.33 else f"c{rng.randrange(60)}", rng.choice(titles), text("T"), text("A"), text("L"))
+        for _ in range(400)
+    ]
+    folder = f"{tmp_path}/in"
+    sinks.write_parquet(spark.createDataFrame(FRAMEWORK, framework_schema()).coalesce(1), f"{folder}/SFW_x.parquet")
+    sinks.write_parquet(spark.createDataFrame(listing, listing_schema()).coalesce(1), f"{folder}/HR.parquet")
+    for key, value in forced.items():
+        spark.conf.set(f"spark.levelmark.{key}", value)
+    try:
+        chosen = RunSettings(["Human Resource"], "HR", *scorers(), FILE_ORDER)
+        results = run(spark, folder, f"{tmp_path}/run", chosen)
+        got = {(r["course_ref"], r["skill_key"]): r["bucket"] for r in results.where("bucket <> 'valid'").collect()}
+        valid = {(r["course_ref"], r["skill_key"]): "valid" for r in results.where("bucket = 'valid'").collect()}
+        tagged = spark.read.parquet(f"{tmp_path}/run/tagged")
+        irrelevant = {
+            (r["course_ref"], r["skill_key"]): "irrelevant" for r in tagged.where("bucket = 'irrelevant'").collect()
+        }
+    finally:
+        for key in forced:
+            spark.conf.unset(f"spark.levelmark.{key}")
+    expected = brute_force(FRAMEWORK, listing)
+    assert {**irrelevant, **got, **valid} == expected
+    assert set(expected.values()) == {"irrelevant", "all_tagged", "valid", "invalid"}
+    # Every clean row is in one bucket of round one.
+    assert tagged.count() == len(expected) == tagged.select("course_ref", "skill_key").distinct().count()
