@@ -1,6 +1,5 @@
-"""The shared folder of the cluster: checkpoints and written tables."""
+"""Folders that driver and executors share."""
 
-import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -10,15 +9,10 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by the session; a local session without one gets its own."""
-    context = spark.sparkContext
-    path = spark.conf.get(CHECKPOINT_SETTING, None) or context.getCheckpointDir()
-    if not path:
-        if not context.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_SETTING} to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="levelmark-"))
-        path = context.getCheckpointDir()
-    return path.rstrip("/")
+    """The folder the session names for checkpoints; where none is set, a
+    folder below the session's table store."""
+    path = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
+    return path.rstrip("/") if path else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -247,34 +247,24 @@ def framework_like():
     return T.StructType([T.StructField("n", T.IntegerType()), T.StructField("s", T.StringType())])
 
 
-class Context:
-    def __init__(self, master):
-        self.master, self.folder = master, None
-
-    def getCheckpointDir(self):
-        return self.folder
-
-    def setCheckpointDir(self, folder):
-        self.folder = folder
-
-
 class Session:
-    """A session with or without a named folder."""
+    """A session with or without a folder for checkpoints."""
 
-    def __init__(self, master, folder=None):
-        self.sparkContext, self.folder = Context(master), folder
-        self.conf = self
+    def __init__(self, folder=None, checkpoints=None):
+        self.sparkContext = self.conf = self
+        self.folder, self.checkpoints = folder, checkpoints
+
+    def getCheckpointDir(self):
+        return self.checkpoints
 
     def get(self, key, default=None):
-        return self.folder if key == "spark.checkpoint.dir" else default
+        return {"spark.checkpoint.dir": self.folder, "spark.sql.warehouse.dir": "hdfs:///tables"}[key] or default
 
 
 def test_shared_folder_comes_from_the_session():
-    assert shared_dir(Session("spark://host", "hdfs:///shared/")) == "hdfs:///shared"
-    local = Session("local[2]")
-    assert shared_dir(local) == shared_dir(local) != ""
-    with pytest.raises(ValueError):
-        shared_dir(Session("spark://host"))
+    assert shared_dir(Session("hdfs:///shared/")) == "hdfs:///shared"
+    assert shared_dir(Session(checkpoints="hdfs:///shared/1")) == "hdfs:///shared/1"
+    assert shared_dir(Session()) == "hdfs:///tables/shared"
 
 
 def brute_force(framework, listing):
