@@ -119,7 +119,8 @@ def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES, print_bits
     groups = rows.groupBy("level", "name").agg(
         F.max(F.struct("doc_id", "row", *ROW_KEYS)).alias("keep"), F.count("*").alias("group_size")
     )
-    return rows.join(groups, ["level", "name"]).select(
+    # Stored, so that both sides of the join are dealt anew and a large group can be split.
+    return rows.join(written(groups, "groups"), ["level", "name"]).select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
         "group_size",

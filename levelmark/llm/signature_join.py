@@ -10,10 +10,10 @@ all documents below belong to one component already. Pairs of leaves that are
 left are compared shingle by shingle.
 
 Trees are grown where links can be. Two sets with Jaccard similarity t share one
-of the first n - ceil(t n) + 1 shingles of each in any common order, so documents
-that share none of those, not even through others, are never linked. The order
-puts shingles that many documents hold last, so shared passages bring no one
-together. The groups found this way are cut into pieces of bounded size: first
+of the first n - ceil(t n) + 1 shingles of each in any common order, so only
+documents that share one of those, and whose signatures allow it, can be linked.
+The order puts shingles that many documents hold last, so shared passages bring
+few together. The groups found this way are cut into pieces of bounded size: first
 each piece is joined with itself and the next, then those pairs of pieces whose
 root nodes could still hold a link between components.
 
@@ -41,6 +41,8 @@ COMMON, COMMON_COUNT = 200_000, 8
 TASK_COUNT = 3
 #: Shingles of a piece of a group, about.
 PIECE_SHINGLES = 1 << 19
+#: Sets of one shingle that are paired by their bitmaps; more are taken as they are.
+RUN = 64
 #: Children of a node, and the widest signature in bits.
 FAN, WIDEST = 8, 1 << 15
 
@@ -219,68 +221,168 @@ def _signed(texts: DataFrame, words: int, percent: int, common: np.ndarray, rank
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, rank = order.value
         for batch in batches:
-            n, one, two, keys = [], [], [], []
+            n, one, two, keys, maps = [], [], [], [], []
             for members in shingle_sets(batch.column("text"), words):
                 n.append(len(members))
                 one.append(mixed(members).sum(dtype=np.uint64))
                 two.append(mixed(members ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64))
+                maps.append(sketch(members) if len(members) else None)
                 keys.append(prefix(members, common, rank, percent).view(np.int64) if len(members) else np.empty(0, np.int64))
             kept = [c for c in batch.schema.names if c != "text"]
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             keys = pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int64), *keys]))
             prints = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)]
-            columns = [*(batch.column(c) for c in kept), pa.array(n, pa.int64()), *prints, keys]
+            columns = [*(batch.column(c) for c in kept), pa.array(n, pa.int64()), *prints, keys, pa.array(maps, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, [*kept, *MADE])
 
-    return texts.mapInArrow(run, schema_with(texts.drop("text"), "n_shingles long, print1 long, print2 long, keys array<long>"))
+    return texts.mapInArrow(run, schema_with(texts.drop("text"), "n_shingles long, print1 long, print2 long, keys array<long>, sketch binary"))
 
 
-MADE = ["n_shingles", "print1", "print2", "keys"]
+MADE = ["n_shingles", "print1", "print2", "keys", "sketch"]
 PRINT = ["n_shingles", "print1", "print2"]
 
 
 # Groups that links can be in
 
 
-def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges between neighbours of one key in sorted rows (key, node); first and
-    last row of the task, which may continue in another one, with their key."""
-    last, edge = None, None
-    names = ["key", "a", "b"]
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, node) sorted in the task: the nodes of each key that has 2
+    to RUN of them; for more, edges between neighbours. The first and the last
+    key of a task may go on in another one: they give edges, and their end rows."""
+    names, empty = ["key", "a", "b", "nodes"], np.empty(0, np.int64)
+
+    def out(key=empty, a=empty, b=empty, nodes=()):
+        rows = max(len(a), len(nodes))
+        pad = lambda x, kind: x if len(x) else pa.nulls(rows, kind)
+        columns = [pad(pa.array(x, pa.int64()), pa.int64()) for x in (key, a, b)]
+        return pa.RecordBatch.from_arrays([*columns, pad(pa.array(nodes, pa.list_(pa.int64())), pa.list_(pa.int64()))], names)
+
+    def end(key, node):
+        return out(key[:1], node[:1], node[:1])
+
+    held_key, held, first, going_on = empty, empty, None, False
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, node = (batch.column(c).to_numpy() for c in ("key", "node"))
-        if last is None:
-            edge = pa.RecordBatch.from_arrays([pa.array(key[:1]), pa.array(node[:1]), pa.array(node[:1])], names)
-            yield edge
-        else:
-            key, node = np.concatenate([[last[0]], key]), np.concatenate([[last[1]], node])
-        same = (key[1:] == key[:-1]) & (node[1:] != node[:-1])
-        pairs = np.unique(np.stack([node[:-1][same], node[1:][same]]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(pairs[0]), pa.array(pairs[1])], names)
-        last = key[-1], node[-1]
-    if last is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in (last[0], last[1], last[1])], names)
-
-
-def _candidate_groups(sets: DataFrame) -> DataFrame:
-    """(node, root) of the sets that share prefix shingles, directly or through others.
-
-    A shingle's sets are chained, not paired, and a shingle of many sets spreads
-    over tasks."""
-    keys = sets.select(F.explode("keys").alias("key"), "node")
-    sorted_ = keys.repartitionByRange("key", "node").sortWithinPartitions("key", "node")
-    chained = written(sorted_.mapInArrow(_chained, "key long, a long, b long"), "chains")
-    ends = chained.where("key is not null")
+        key, node = (np.concatenate([h, batch.column(c).to_numpy()]) for h, c in ((held_key, "key"), (held, "node")))
+        if first is None:
+            first = key[0]
+            yield end(key, node)
+        cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key))
+        lists, chains = [], []
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            if high == len(key):  # may go on in the next batch
+                over = high - low > RUN
+                if over:
+                    chains.append(node[low:high])
+                    low = high - 1
+                held_key, held, going_on = key[low:], node[low:], over or (going_on and low == 0)
+            elif high - low > 1:
+                if high - low > RUN or key[low] == first or (going_on and low == 0):
+                    chains.append(node[low:high])
+                else:
+                    lists.append(node[low:high].tolist())
+        if lists:
+            yield out(nodes=lists)
+        for chain in chains:
+            yield out(a=chain[:-1], b=chain[1:])
+    if first is not None:
+        if len(held) > 1:
+            yield out(a=held[:-1], b=held[1:])
+        yield end(held_key[-1:], held[-1:])
+
+
+def sketch(members: np.ndarray) -> bytes:
+    """Bitmap of a set, of as many bits as it has members or up to twice that."""
+    bits = min(WIDEST, max(64, 1 << (len(members) - 1).bit_length()))
+    marks = np.zeros(bits, bool)
+    marks[(members & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(marks, bitorder="little").tobytes()
+
+
+def _may_link(n: int, one: np.ndarray, m: int, two: np.ndarray, percent: int) -> bool:
+    """The bound of can_link for two documents; the wider bitmap is folded."""
+    if min(n, m) * 100 < max(n, m) * percent:
+        return False
+    size = min(len(one), len(two))
+    one, two = (np.bitwise_or.reduce(x.reshape(-1, size), axis=0) if len(x) > size else x for x in (one, two))
+    shared = int(np.bitwise_count(one & two).sum())
+    hidden = min(n - int(np.bitwise_count(one).sum()), m - int(np.bitwise_count(two).sum()))
+    return min(n, m, shared + hidden) * (100 + percent) >= (n + m) * percent
+
+
+def _possible(percent: int):
+    """Edges that connect the sets of a list which could link, by their bitmaps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            if not table.num_rows:
+                continue
+            lists = table.column("list").to_numpy()
+            cuts = np.flatnonzero(np.append(True, lists[1:] != lists[:-1]))
+            held = table.slice(int(cuts[-1])).to_batches()[0]
+            yield of_lists(table.slice(0, int(cuts[-1])), cuts)
+        if held is not None:
+            yield of_lists(pa.Table.from_batches([held]), np.array([0, held.num_rows]))
+
+    def of_lists(table: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+        node, size = (table.column(c).to_numpy() for c in ("node", "n_shingles"))
+        maps = [np.frombuffer(x, np.uint64) for x in table.column("sketch").to_pylist()]
+        found = []
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            order = low + np.argsort(size[low:high], kind="stable")
+            label = {int(i): int(i) for i in order}
+            for x, i in enumerate(order):
+                for j in order[x + 1 :]:
+                    if size[i] * 100 < size[j] * percent:
+                        break
+                    if label[i] != label[j] and _may_link(int(size[i]), maps[i], int(size[j]), maps[j], percent):
+                        old, new = label[j], label[i]
+                        label = {k: new if v == old else v for k, v in label.items()}
+                        found.append((int(node[i]), int(node[j])))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _candidate_groups(signed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of the sets that may link, directly or through others: they
+    share a prefix shingle, and their bitmaps allow it.
+
+    The sets of one shingle are paired by bitmap if they are up to RUN, else
+    chained unseen; a shingle of many sets spreads over tasks."""
+    keyed = lookup_join(signed.select("keys", *ROW_KEYS), sets.select("node", *ROW_KEYS), ROW_KEYS, "inner", ROW_KEYS)
+    keys = keyed.select(F.explode("keys").alias("key"), "node").repartitionByRange("key", "node").sortWithinPartitions("key", "node")
+    runs = written(keys.mapInArrow(_runs, "key long, a long, b long, nodes array<long>"), "runs")
+    ends = runs.where("key is not null")
     firsts = ends.groupBy("key").agg(F.min("a").alias("b"))
-    over = ends.select("key", "a").join(firsts, "key").select("a", "b")
-    return components(chained.where("key is null").select("a", "b").unionByName(over))
+    chains = runs.where("key is null and a is not null").select("a", "b")
+    chains = chains.unionByName(ends.select("key", "a").join(firsts, "key").select("a", "b"))
+    # Near copies share many shingles, so many lists are equal.
+    lists = runs.where("nodes is not null").select("nodes").distinct().select(F.monotonically_increasing_id().alias("list"), "nodes")
+    lists = written(lists, "lists").select("list", F.explode("nodes").alias("node"))
+    maps = lookup_join(signed.select("sketch", *ROW_KEYS), sets.select("node", "n_shingles", *ROW_KEYS), ROW_KEYS, "inner", ROW_KEYS)
+    listed = lookup_join(lists, written(maps.select("node", "n_shingles", "sketch").dropDuplicates(["node"]), "sketches"), ["node"], "inner", ["list"])
+    listed = listed.select("list", "node", "n_shingles", "sketch").repartition("list").sortWithinPartitions("list")
+    return components(chains.unionByName(listed.mapInArrow(_possible(percent), "a long, b long")))
 
 
 # Pieces of groups
 
 
+def _shingled(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [c for c in batch.schema.names if c != "text"]
+            packed = _packed(list(shingle_sets(batch.column("text"), words)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), packed], [*kept, "shingles"])
+
+    return run
+
+
 def _joined(percent: int):
     """Links among rows (node, group, n_shingles, label, shingles, side) of one piece or pair of pieces."""
 
@@ -320,23 +422,23 @@ def _joined(percent: int):
 _ROW = ["node", "group", "n_shingles", "label", "shingles"]
 
 
-def _links(members: DataFrame, percent: int) -> DataFrame:
-    """Edges that connect the components of all links among `members` (node,
-    group, piece, n_shingles, shingles)."""
-    within = members.withColumn("label", F.col("node")).withColumn("side", F.lit(0))
+def _links(sets: DataFrame, members, percent: int) -> DataFrame:
+    """Edges that connect the components of all links among `sets` (node, group,
+    piece, n_shingles, ROW_KEYS); `members` adds the shingles to some of them."""
+    within = members(sets.withColumn("label", F.col("node")).withColumn("side", F.lit(0)))
     within = within.select(*_ROW, "side", "piece").groupBy("piece").applyInArrow(_joined(percent), "a long, b long")
     # Groups that lie in several pieces: neighbouring pieces next, then the rest.
-    pieces = members.groupBy("group", "piece").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
-    spread = pieces.groupBy("group").agg(F.count("*").alias("pieces")).where("pieces > 1")
+    pieces = sets.select("group", "piece").distinct()
+    spread = pieces.groupBy("group").agg(F.count("*").alias("pieces")).where("pieces > 1").select("group")
     wide = written(pieces.join(spread, "group"), "pieces")
+    found = written(within, "links")
     if wide.isEmpty():
-        return within
-    first = wide.select("group", F.col("piece").alias("one"))
-    pairs = first.join(wide.select("group", F.col("piece").alias("two")), "group").where("two = one + 1")
-    large = members.join(spread.select("group"), "group", "left_semi").withColumn("label", F.col("node"))
-    found = written(within.unionByName(_between(large, pairs, percent)), "links")
-    roots = components(found)
-    labelled = large.drop("label").join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        return found
+    first, second = wide.select("group", F.col("piece").alias("one")), wide.select("group", F.col("piece").alias("two"))
+    large = written(sets.join(wide, ["group", "piece"], "left_semi").withColumn("label", F.col("node")), "large")
+    neighbours = first.join(second, "group").where("two = one + 1")
+    found = written(found.unionByName(_between(members(large), neighbours, percent)), "links")
+    labelled = large.drop("label").join(components(found), "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
     labelled = written(labelled, "labelled")
     nodes = labelled.groupBy("group", "piece").agg(
         F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"), F.min("label").alias("least"), F.max("label").alias("most")
@@ -346,7 +448,10 @@ def _links(members: DataFrame, percent: int) -> DataFrame:
     open_ = "not (least1 = most1 and least2 = most2 and least1 = least2)"
     rest = one.join(two, "group").where(fits).where(open_).select("group", F.col("piece1").alias("one"), F.col("piece2").alias("two"))
     rest = written(rest, "pairs")
-    return found if rest.isEmpty() else found.unionByName(_between(labelled, rest, percent))
+    if rest.isEmpty():
+        return found
+    again = labelled.join(rest.select("group").distinct(), "group", "left_semi")
+    return found.unionByName(_between(members(again), rest, percent))
 
 
 def _between(members: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -370,25 +475,20 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     """
     texts = docs.select("doc_id", *row_keys(), "text")
     signed = written(_signed(texts, words, percent, *_common_shingles(texts, words)), "signed")
-    sets = signed.where("n_shingles > 0").groupBy(*PRINT).agg(
-        F.min("doc_id").alias("least_id"), F.min(F.struct(*ROW_KEYS)).alias("row"), F.first("keys").alias("keys")
-    )
-    sets = written(sets.select(F.monotonically_increasing_id().alias("node"), *PRINT, "least_id", "row.*", "keys"), "sets")
+    sets = signed.where("n_shingles > 0").groupBy(*PRINT).agg(F.min("doc_id").alias("least_id"), F.min(F.struct(*ROW_KEYS)).alias("row"))
+    sets = written(sets.select(F.monotonically_increasing_id().alias("node"), *PRINT, "least_id", "row.*"), "sets")
 
-    groups = _candidate_groups(sets).withColumnRenamed("root", "group")
+    groups = _candidate_groups(signed, sets, percent).withColumnRenamed("root", "group")
     slim = sets.select("node", "n_shingles", *ROW_KEYS).join(groups, "node")
     slim = running_totals(slim, ["group", "n_shingles", "node"], before="n_shingles")
     slim = written(slim.withColumn("piece", F.floor(F.col("before") / piece)).drop("before"), "grouped")
-    rows = lookup_join(texts, slim, ROW_KEYS, "inner", ROW_KEYS).select("node", "group", "piece", "n_shingles", "text")
 
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [c for c in batch.schema.names if c != "text"]
-            packed = _packed(list(shingle_sets(batch.column("text"), words)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), packed], [*kept, "shingles"])
+    def members(of: DataFrame) -> DataFrame:
+        """The shingles of the sets, from their documents' texts; not stored, as they outweigh the texts."""
+        rows = lookup_join(texts, of, ROW_KEYS, "inner", ROW_KEYS).select("text", "n_shingles", *(c for c in of.columns if c not in texts.columns and c != "n_shingles"))
+        return rows.mapInArrow(_shingled(words), schema_with(rows.drop("text"), "shingles binary"))
 
-    members = written(rows.mapInArrow(shingled, schema_with(rows.drop("text"), "shingles binary")), "members")
-    roots = components(_links(members, percent))
+    roots = components(_links(slim, members, percent))
     classes = sets.select(*PRINT, "least_id", "node").join(roots, "node", "left")
     classes = written(classes.withColumn("root", F.coalesce("root", "node")), "classes")
     least = classes.groupBy("root").agg(F.min("least_id").alias("component_id"))
