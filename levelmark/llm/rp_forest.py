@@ -169,7 +169,8 @@ def _best(scores: np.ndarray, count: int) -> np.ndarray:
 
 def _ranked(points: pa.Table, probes: pa.Table, k: int) -> pa.Table:
     """(query_id, vec_id, score): the nearest points of one piece of a leaf to
-    the queries that visit it; scores on the vectors as they are."""
+    the queries that visit it, no lower than the query's floor; scores on the
+    vectors as they are."""
     out = {"query_id": [], "vec_id": [], "score": []}
     if points.num_rows and probes.num_rows:
         first = points.column("ids").combine_chunks()
@@ -179,6 +180,7 @@ def _ranked(points: pa.Table, probes: pa.Table, k: int) -> pa.Table:
         ids, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
         sizes = np.diff(ends)
         queries, names = _matrix(probes.column("vector")), probes.column("query_id").to_numpy()
+        floors = probes.column("floor").to_numpy()
         for at in range(0, len(queries), 512):
             some, own = queries[at : at + 512], names[at : at + 512]
             best = _best(some @ vectors.T, k + 1)
@@ -189,9 +191,9 @@ def _ranked(points: pa.Table, probes: pa.Table, k: int) -> pa.Table:
             inside = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             found = ids[np.repeat(ends[chosen], many) + inside]
             query = own[np.repeat(asked, many)]
-            other = found != query
+            wanted = (found != query) & np.repeat(score >= floors[at : at + 512][asked], many)
             for name, values in zip(out, (query, found, np.repeat(score, many)), strict=True):
-                out[name].append(values[other])
+                out[name].append(values[wanted])
     types = {"query_id": np.int64, "vec_id": np.int64, "score": np.float64}
     return pa.table({n: np.concatenate([np.empty(0, types[n]), *v]).astype(types[n]) for n, v in out.items()})
 
@@ -269,6 +271,27 @@ def search(table: DataFrame, k: int = K, every: int = EVERY, trees: int = TREES,
 
     points = written(points.mapInArrow(placed, schema_with(points, "leaves array<int>")), "placed")
     probes = written(queries.mapInArrow(visited, schema_with(queries, "leaves array<int>")), "probes")
+    first, later = F.slice("leaves", 1, trees), F.slice("leaves", trees + 1, built.leaves)
+    met = written(_met(points, probes.select("query_id", "vector", first.alias("leaves"), F.lit(float("-inf")).alias("floor")), k), "met")
+    # What the first leaves gave bounds what the others can add.
+    floors = _top(met, k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
+    floors = floors.select("query_id", F.when(F.col("n") >= k, F.col("least")).alias("least"))
+    rest = probes.select("query_id", "vector", later.alias("leaves")).join(floors, "query_id", "left")
+    rest = rest.select("query_id", "vector", "leaves", F.coalesce("least", F.lit(float("-inf"))).alias("floor"))
+    return _top(met.unionByName(_met(points, rest, k)), k).select("query_id", "rank", "vec_id", "score")
+
+
+def _top(met: DataFrame, k: int) -> DataFrame:
+    """The k best (vec_id, score) of each query, with their rank."""
+    best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _met(points: DataFrame, probes: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): for each query and each of its leaves the best
+    points there. Large leaves are cut into pieces, and many visitors of a leaf
+    into parts; each piece meets each part in one task."""
     # One row per leaf of the forest.
     load = points.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("rows"))
     visitors = probes.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("queries"))
@@ -282,12 +305,9 @@ def search(table: DataFrame, k: int = K, every: int = EVERY, trees: int = TREES,
     left = points.select("vector", "ids", F.explode("leaves").alias("leaf")).join(cuts, "leaf")
     left = left.withColumn("piece", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("pieces")).cast("int"))
     left = left.select("leaf", "piece", numbers("parts").alias("part"), "vector", "ids")
-    right = probes.select("query_id", "vector", F.explode("leaves").alias("leaf")).join(cuts, "leaf")
+    right = probes.select("query_id", "vector", "floor", F.explode("leaves").alias("leaf")).join(cuts, "leaf")
     right = right.withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
-    right = right.select("leaf", numbers("pieces").alias("piece"), "part", "query_id", "vector")
+    right = right.select("leaf", numbers("pieces").alias("piece"), "part", "query_id", "vector", "floor")
     key = ["leaf", "piece", "part"]
     met = left.groupBy(*key).cogroup(right.groupBy(*key))
-    met = met.applyInArrow(lambda a, b: _ranked(a, b, k), "query_id long, vec_id long, score double")
-    best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return met.applyInArrow(lambda a, b: _ranked(a, b, k), "query_id long, vec_id long, score double")
