@@ -180,7 +180,7 @@ def _common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
             for members in shingle_sets(batch.column("text"), words):
                 parts.append(members)
                 size += len(members)
-                if size >= 8 * PIECE_SHINGLES:
+                if size >= 4 * PIECE_SHINGLES:
                     yield flush()
                     parts, size = [], 0
         yield flush()

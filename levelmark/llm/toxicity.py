@@ -44,7 +44,7 @@ NEAR = 5
 #: Calibrated scores keep the trees' order inside a step by this part of theirs.
 ORDER_PART = 0.01
 #: Words remembered by a worker before it starts anew.
-MAX_WORDS = 500_000
+MAX_WORDS = 200_000
 
 # Words that address the reader, in the four languages of the tables.
 SECOND_PERSON = frozenset(
@@ -214,6 +214,8 @@ def _with_features(docs: DataFrame, lexicons: dict[int | None, Lexicon], by_labe
             x = pa.array([known[y].features(t) for t, y in zip(texts, labels, strict=True)], pa.list_(pa.float64()))
             kept = [n for n in batch.schema.names if n != "_text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), x], [*kept, "x"])
+        for lexicon in known.values():  # the worker goes on to other tasks
+            lexicon.codes.clear()
 
     return docs.mapInArrow(run, schema_with(docs.drop("_text"), "x array<double>"))
 

@@ -26,10 +26,10 @@ from tokenizers.pre_tokenizers import Split
 
 from levelmark.llm.common import schema_with
 
-#: Words kept with their encodings in a worker before it starts anew.
-MAX_WORDS = 600_000
-#: Pairs of tokens kept with whether they stay apart.
-MAX_PAIRS = 1_000_000
+#: Words kept with their encodings in a task before it starts anew.
+MAX_WORDS = 400_000
+#: Pairs of tokens kept in a worker with whether they stay apart.
+MAX_PAIRS = 200_000
 
 # What the tokenizer file's normaliser, splitter and byte alphabet say.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -199,7 +199,7 @@ class TrieBpe:
 
 @lru_cache(maxsize=2)
 def _coder(vocabulary: str) -> TrieBpe:
-    """One per worker, which keeps its words from batch to batch."""
+    """One per worker."""
     return TrieBpe(vocabulary)
 
 
@@ -238,6 +238,7 @@ def _coded(docs: DataFrame, path: str, keep: list[str], made: str, columns) -> D
             made_columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else []
             made_columns = made_columns or [pa.array([], t) for t in types]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made_columns], [*keep, *names])
+        coder.words.clear()  # the worker goes on to other tasks
 
     kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
     names, types = zip(*((c.split()[0], kinds[c.split()[1]]) for c in made.split(", ")), strict=True)
