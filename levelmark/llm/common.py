@@ -1,5 +1,7 @@
 """What several operators of this subpackage need."""
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,6 +71,14 @@ def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return kept.select(*columns)
 
 
+def give_back() -> None:
+    """Returns a worker's free memory to the system, after a task that held
+    large tables of Python objects: workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _sums_in_range(weights: dict[str, str]):
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()

@@ -21,7 +21,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from levelmark.llm.common import id_remainder, schema_with
+from levelmark.llm.common import give_back, id_remainder, schema_with
 from levelmark.llm.quality import one_label
 from levelmark.sources.shared import written
 
@@ -44,7 +44,7 @@ NEAR = 5
 #: Calibrated scores keep the trees' order inside a step by this part of theirs.
 ORDER_PART = 0.01
 #: Words remembered by a worker before it starts anew.
-MAX_WORDS = 200_000
+MAX_WORDS = 100_000
 
 # Words that address the reader, in the four languages of the tables.
 SECOND_PERSON = frozenset(
@@ -185,6 +185,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if sum(map(len, seen.values())) > MAX_WORDS:
             yield from flush()
     yield from flush()
+    give_back()
 
 
 def learn_lexicons(sample: DataFrame) -> dict[int | None, Lexicon]:
@@ -216,6 +217,7 @@ def _with_features(docs: DataFrame, lexicons: dict[int | None, Lexicon], by_labe
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), x], [*kept, "x"])
         for lexicon in known.values():  # the worker goes on to other tasks
             lexicon.codes.clear()
+        give_back()
 
     return docs.mapInArrow(run, schema_with(docs.drop("_text"), "x array<double>"))
 

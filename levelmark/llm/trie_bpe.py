@@ -24,12 +24,12 @@ from tokenizers import Regex
 from tokenizers.normalizers import NFC, Lowercase, Sequence
 from tokenizers.pre_tokenizers import Split
 
-from levelmark.llm.common import schema_with
+from levelmark.llm.common import give_back, schema_with
 
 #: Words kept with their encodings in a task before it starts anew.
-MAX_WORDS = 400_000
+MAX_WORDS = 200_000
 #: Pairs of tokens kept in a worker with whether they stay apart.
-MAX_PAIRS = 200_000
+MAX_PAIRS = 100_000
 
 # What the tokenizer file's normaliser, splitter and byte alphabet say.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -204,7 +204,7 @@ def _coder(vocabulary: str) -> TrieBpe:
 
 
 #: Characters of the texts that are split at a time.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 def _slices(texts: list[str]) -> Iterator[list[str]]:
@@ -239,6 +239,7 @@ def _coded(docs: DataFrame, path: str, keep: list[str], made: str, columns) -> D
             made_columns = made_columns or [pa.array([], t) for t in types]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made_columns], [*keep, *names])
         coder.words.clear()  # the worker goes on to other tasks
+        give_back()
 
     kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
     names, types = zip(*((c.split()[0], kinds[c.split()[1]]) for c in made.split(", ")), strict=True)
