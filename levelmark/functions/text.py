@@ -10,7 +10,7 @@ WHITE_SPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-# No bracket anywhere, or bracketed as a whole ((?d): only \n ends a line).
+# Fixed values. No bracket anywhere, or bracketed as a whole ((?d): only \n ends a line).
 TITLE_FORMAT = r"(?d)^[^\[\]]+$|^\[.*\]$"
 SECTOR_LABEL = r"^(.*?) \((.*?)\)*$"
 OBJECT_URI = r"^s3://([^/]+)/(.*)$"
@@ -41,7 +41,11 @@ def content_id_stripped(c: Column) -> Column:
 
 def is_list_like(c: Column) -> Column:
     """True when the stripped cell is one JSON list (double quotes only)."""
-    cell = strip(c)
+    # Stripped once: an inner array column that the tests below share.
+    return F.coalesce(F.get(F.transform(F.array(strip(c)), _is_list), F.lit(0)), F.lit(False))
+
+
+def _is_list(cell: Column) -> Column:
     options = {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "_bad"}
     wrapped = F.from_json(
         F.concat(F.lit('{"v":'), cell, F.lit("}")), "v string, _bad string", options
@@ -51,7 +55,7 @@ def is_list_like(c: Column) -> Column:
     strict = wrapped["v"].isNotNull() & wrapped["_bad"].isNull()
     # The cheaper tests first: most cells are plain names.
     bracketed = cell.startswith("[") & cell.endswith("]")
-    return F.coalesce(F.when(bracketed & single, strict), F.lit(False))
+    return F.when(bracketed & single, strict)
 
 
 def parse_list_cell(c: Column) -> Column:

@@ -4,8 +4,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from levelmark.sources.shared import written
-
 # Defaults of the session settings of the same names.
 SETTINGS = {
     "spark.levelmark.broadcastRows": 1_000_000,
@@ -68,14 +66,17 @@ def salted_join(
     `how` is inner, left, left_semi or left_anti. `hot` may come from a cheaper
     table holding at least the rows of `left`. Only hot keys of `right` are
     repeated, and the salt is a hash of row values, so retried tasks agree.
-    The hot keys are counted first; without any, this is a plain join.
+    The hot keys are counted first; without any, this is a plain join. They are
+    broadcast where their measured size allows.
     """
     if hot is None:
         hot = hot_keys(left, on, hot_rows)
-    hot = written(hot, "hot")
+    hot = hot.persist()  # counted once; lost parts are counted again from the source
     if hot.isEmpty():
+        hot.unpersist()
         return left.join(right, on, how)
-    hot = F.broadcast(hot)
+    if fits_broadcast(hot):
+        hot = F.broadcast(hot)
     salts = setting(left.sparkSession, "salts", salts)
     salt = F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int")
     spread = (

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from levelmark.operators.scoring import CALLS_PER_PAUSE, PAUSE_SECONDS
 
-GUESS_SECONDS = 0.6  # fixed value: time per row before a rate is known
+# Time per row before a rate is known, and the sentences below.
+GUESS_SECONDS = 0.6
 
 
 def run_counts(work: DataFrame, by: list[str]) -> DataFrame:

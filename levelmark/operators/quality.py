@@ -134,7 +134,7 @@ def empty_files(files: DataFrame) -> DataFrame:
 def framework_names(files: DataFrame, alias: str | None = None) -> DataFrame:
     """Failing rule per framework file name, null when it is right."""
     stem = file_stem(file_name(F.col("path")))
-    named = files.withColumn("full_name", F.substring(stem, len(FRAMEWORK_PREFIX) + 1, 1_000))
+    named = files.withColumn("full_name", F.substr(stem, F.lit(len(FRAMEWORK_PREFIX) + 1)))
     known = F.broadcast(sector_dimension(files.sparkSession).select("full_name", "alias"))
     rule = (
         F.when(~stem.startswith(FRAMEWORK_PREFIX), "prefix")

@@ -4,14 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from levelmark.functions.text import normalise_key
-from levelmark.operators.joins import within_limits
 from levelmark.reference_values import ITEM_SEPARATOR
 
 PAGE_ROWS = 10_000
-# Longest text per topic put into one prompt; above the context of chat models.
-MAX_TOPIC_BYTES = 8 * 1024 * 1024
-# Allowance for the fixed words around an item in a prompt.
-ITEM_OVERHEAD = 128
 
 
 def sector_framework(framework: DataFrame, sectors: list[str]) -> DataFrame:
@@ -81,8 +76,7 @@ def skill_pages(items: DataFrame, order: list[str], page_rows: int = PAGE_ROWS)
 
 
 def skill_info(pages: DataFrame) -> DataFrame:
-    """Pages of each topic and level put together; for topics known to be small
-    enough for a prompt."""
+    """Pages of each topic and level put together: one row, however long."""
 
     def joined(lists: str) -> Column:
         in_order = F.array_sort(F.collect_list(F.struct("page", lists)))
@@ -110,21 +104,3 @@ def knowledge_base(pages: DataFrame) -> DataFrame:
     levels = pages.groupBy("skill_key", "level").agg(F.array_join(in_order, ITEM_SEPARATOR).alias("items"))
     listed = F.array_sort(F.collect_list(F.struct("level", "items")))
     return levels.groupBy("skill_key").agg(F.to_json(listed).alias("knowledge"))
-
-
-def split_by_size(rows: DataFrame, text: str, max_topic_bytes: int = MAX_TOPIC_BYTES):
-    """Rows of topics whose texts fit one prompt, keys of the others (None when
-    all fit), and whether the fitting topics together may be broadcast."""
-    size = F.coalesce(F.octet_length(text), F.lit(0)) + ITEM_OVERHEAD
-    topics = rows.groupBy("skill_key").agg(F.sum(size).alias("b"))
-    seen = topics.agg(
-        F.count("*").alias("n"),
-        F.coalesce(F.sum("b"), F.lit(0)).alias("total"),
-        F.coalesce(F.max("b"), F.lit(0)).alias("largest"),
-    ).first()
-    fits = within_limits(rows.sparkSession, seen["n"], seen["total"])
-    if seen["largest"] <= max_topic_bytes:
-        return rows, None, fits
-    # At most total / max_topic_bytes topics are oversized.
-    oversized = topics.where(F.col("b") > max_topic_bytes).select("skill_key")
-    return rows.join(F.broadcast(oversized), "skill_key", "left_anti"), oversized, False

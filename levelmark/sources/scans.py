@@ -9,7 +9,7 @@ from levelmark.schemas import FRAMEWORK_COLUMNS, LISTING_COLUMNS, listing_schema
 
 # Framework files start with the prefix, listings do not (path globs).
 FRAMEWORK_GLOB = "SFW*.parquet"
-LISTING_GLOB = "{[!S]*,S[!F]*,SF[!W]*}.parquet"
+LISTING_GLOB = "{[!S]*,S,S[!F]*,SF,SF[!W]*}.parquet"
 
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:

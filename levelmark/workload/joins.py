@@ -13,6 +13,7 @@ from levelmark.operators.taxonomy import level_pairs
 from levelmark.plans.runs import pending
 from levelmark.sources.shared import written
 from levelmark.workload import runs
+from levelmark.workload import scoring as sc
 from levelmark.workload import tables as t
 from levelmark.workload.registry import query
 
@@ -174,28 +175,25 @@ def agg_level_set_title(spark: SparkSession, folder: str) -> DataFrame:
 items AS (
   SELECT skill_key, level, item_class, item, min(ord) AS o, arg_min(level_descr, ord) AS level_descr
   FROM topics GROUP BY ALL)
-SELECT skill_key, level, CAST(o - o % {PAGE} AS BIGINT) AS page, arg_min(level_descr, o) AS level_descr,
+SELECT skill_key, level, arg_min(level_descr, o) AS level_descr,
   coalesce(string_agg(item, '|' ORDER BY o) FILTER (WHERE item_class = 'knowledge' AND item IS NOT NULL), '') AS knowledge,
   coalesce(string_agg(item, '|' ORDER BY o) FILTER (WHERE item_class = 'ability' AND item IS NOT NULL), '') AS ability
-FROM items GROUP BY skill_key, level, o - o % {PAGE}""")
+FROM items GROUP BY skill_key, level""")
 def agg_skill_info(spark: SparkSession, folder: str) -> DataFrame:
     items = taxonomy.distinct_items(t.topics(spark, folder), t.FRAMEWORK_ORDER)
-    return taxonomy.skill_pages(items, t.FRAMEWORK_ORDER, PAGE).select(
+    info = taxonomy.skill_info(taxonomy.skill_pages(items, t.FRAMEWORK_ORDER, PAGE))
+    return info.select(
         "skill_key",
         "level",
-        "page.page",
-        "first.level_descr",
+        "level_descr",
         F.array_join("knowledge", "|").alias("knowledge"),
         F.array_join("ability", "|").alias("ability"),
     )
 
 
-@query(f"""WITH {t.FRAMEWORK_SQL}
-SELECT skill_key, level, CAST(ord - ord % {PAGE} AS BIGINT) AS page, string_agg(coalesce(item, ''), ', ' ORDER BY ord) AS items
-FROM topics GROUP BY ALL""")
+@query(f"WITH {t.FRAMEWORK_SQL}, {sc.KNOWLEDGE_SQL} SELECT skill_key, knowledge FROM kb")
 def agg_knowledge_base(spark: SparkSession, folder: str) -> DataFrame:
-    pages = taxonomy.knowledge_pages(t.topics(spark, folder), t.FRAMEWORK_ORDER, PAGE)
-    return pages.select("skill_key", "level", F.col("page.page").alias("page"), "items")
+    return taxonomy.knowledge_base(taxonomy.knowledge_pages(t.topics(spark, folder), t.FRAMEWORK_ORDER, PAGE))
 
 
 @query(f"""WITH {runs.LIST_CELLS_SQL}, c AS (

@@ -266,7 +266,7 @@ def title_format_ok(spark: SparkSession, folder: str) -> DataFrame:
 # Answers of every kind the parser meets, by the fixed round-one answer.
 ANSWER_TEXTS = {
     0: '{"proficiency_level": "3", "reason": "r", "confidence": "high"}',
-    1: '{"proficiency_level": 4, "reason": "r", "confidence": "low", "more": 1}',
+    1: '{"proficiency_level": 4.0, "reason": "r", "confidence": "low", "more": 1}',
     2: '{"reason": "no level", "confidence": "medium"}',
     3: "",
     4: "oops",
@@ -304,13 +304,13 @@ def parse_answer(spark: SparkSession, folder: str) -> DataFrame:
 
 
 DEFAULT_TEXTS = {
-    0: '{"proficiency": 5, "reason": "r", "confidence": "high"}',
-    1: '{"proficiency": 2}',
+    0: '{"proficiency": 5.0, "reason": "r", "confidence": "high"}',
+    1: '{"proficiency": " 2 "}',
     2: '{"reason": "r"}',
     3: "{}",
     4: "",
     5: "oops",
-    6: '{"confidence": "low"}',
+    6: '{"proficiency": 2.7, "confidence": "low"}',
 }
 DEFAULTS_SQL = """parsed(answer1, level, reason, confidence) AS (VALUES
   (0, 5, 'r', 'high'), (1, 2, '', ''), (2, 0, 'r', ''), (3, 0, '', ''), (4, 0, '', ''), (5, 0, '', ''), (6, 0, '', 'low'))"""

@@ -9,6 +9,7 @@ from levelmark.operators.taxonomy import level_pairs
 from levelmark.plans.rounds import bucket_round1, bucket_round2, prepare_work, round2_work, tag_round1, tag_round2
 from levelmark.plans.runs import RunSettings, RunStore, run_two_rounds
 from levelmark.sources.shared import scratch_path, written
+from levelmark.sources.sinks import write_parquet
 from levelmark.workload import scoring as sc
 from levelmark.workload import tables as t
 from levelmark.workload.registry import query
@@ -187,3 +188,41 @@ def resume_equals_full(spark: SparkSession, folder: str) -> DataFrame:
     RunStore(spark, root).append_answers(early, "r1")
     results = run_two_rounds(spark, t.framework(spark, folder), t.listing(spark, folder), root, settings)
     return results.select("course_ref", "skill_key", "level", "bucket")
+
+
+def early_run(spark: SparkSession, folder: str) -> RunStore:
+    """A run stopped in round one: some rows answered, some calls failed."""
+    work = prepare_work(t.listing(spark, folder), t.topics(spark, folder), t.ORDER, ["about"]).where("relevance = 'In Sector'")
+    store = RunStore(spark, scratch_path(spark, "run"))
+    write_parquet(work, store.path("work"))
+    work = spark.read.parquet(store.path("work"))
+    answered = work.where("answer1 > 0").select(
+        "work_id", F.lit("{}").alias("answer"), F.when(F.col("answer1") == 1, "stopped").alias("error")
+    )
+    store.append_answers(answered, "r1")
+    store.save_state("r1", work, "B1")
+    return store
+
+
+@query(f"""WITH {t.routed_sql("skill_key")}
+SELECT 'r1' AS round, count(*) AS n_total, count(*) FILTER (WHERE answer1 > 1) AS n_done,
+       count(*) FILTER (WHERE answer1 > 1) / count(*) AS progress, 'B1' AS sector FROM work""")
+def run_state(spark: SparkSession, folder: str) -> DataFrame:
+    """The state that a stopped run has saved."""
+    return early_run(spark, folder).state().select("round", "n_total", "n_done", "progress", "sector")
+
+
+@query(f"""WITH {t.routed_sql("skill_key")}
+SELECT 'answers' AS name, count(*) FILTER (WHERE answer1 > 0) AS n_before, CAST(0 AS BIGINT) AS n_after FROM work
+UNION ALL SELECT 'state', 1, 0 UNION ALL SELECT 'work', count(*), 0 FROM work""")
+def clear_run(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of a run's tables before and after it is cleared."""
+    store = early_run(spark, folder)
+
+    def counts(column: str) -> DataFrame:
+        parts = [spark.read.parquet(store.path(n)).agg(F.lit(n).alias("name"), F.count("*").alias(column)) for n in ("answers", "state", "work")]
+        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+    before = written(counts("n_before"), "before")
+    store.clear_all()
+    return before.join(counts("n_after"), "name")

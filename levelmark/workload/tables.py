@@ -9,7 +9,7 @@ texts, and arithmetic on prices and quantities the fixed answers.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from levelmark.operators.joins import hot_keys
+from levelmark.operators.joins import hot_keys, salted_join
 from levelmark.operators.listing import dedupe_then_drop, with_skill_key
 from levelmark.operators.routing import flag_relevance
 from levelmark.operators.taxonomy import sector_framework
@@ -65,7 +65,8 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
 def with_documents(rows: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
     """Puts a whole document into `about` where the course has one."""
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("course_ref"), F.col("text").alias("_text"))
-    joined = rows.join(docs, "course_ref", "left")
+    salt_by = [c for c in ("l_linenumber", "l_partkey", "skill_key") if c in rows.columns]
+    joined = salted_join(rows, docs, ["course_ref"], "left", salt_by, hot=hot_courses(spark, folder))
     return joined.withColumn("about", F.coalesce("_text", "about")).drop("_text")
 
 

@@ -106,3 +106,11 @@ def test_round2_answers(spark):
     cells = ['{"proficiency": 5, "reason": "r", "confidence": "high"}', "{}", "", "oops", '{"proficiency": "x"}', None]
     parsed = values(spark, cells, parse_round2(F.col("c")))
     assert [tuple(p) for p in parsed] == [(5, "r", "high")] + [(0, "", "")] * 5
+
+
+def test_level_forms(spark):
+    forms = {"3": 3, "3.0": 3, " 3 ": 3, "+3.": 3, "2.7": 0, "3d": 0, "1e2": 0, "": 0, "99999999999": 0, "-1": -1, "high": 0, None: 0}
+    from levelmark.functions.answers import cast_level
+
+    df = spark.createDataFrame([(t,) for t in forms], "t string").select(cast_level(F.col("t")).alias("level"))
+    assert [r["level"] for r in df.collect()] == list(forms.values())

@@ -18,7 +18,7 @@ from levelmark.operators.listing import (
     mixed_formats,
 )
 from levelmark.operators.progress import eta_seconds, eta_text
-from levelmark.operators.prompts import TOO_LONG, knowledge_texts, level_texts, round1_prompts, round2_prompts
+from levelmark.operators.prompts import knowledge_texts, level_texts, round1_prompts, round2_prompts
 from levelmark.operators.routing import flag_relevance
 from levelmark.operators.scoring import lexical_levels, score
 
@@ -176,14 +176,18 @@ def test_setup_chooses_the_item_lists(work, topics):
     assert "Knowledge Items:" in only and "Ability Items:" not in only
 
 
-def test_oversized_topics_fail_alone(work, topics):
-    limit = 2 * taxonomy.ITEM_OVERHEAD + 30
+def test_a_topic_of_many_megabytes_gets_its_prompt_and_answer(spark):
+    letters = "abcdefghi"
+    rows = [(i, "S", "Big", 1, "long", "knowledge", c * (1 << 20)) for i, c in enumerate(letters)]
+    rows.append((99, "S", "Small", 1, "short", "knowledge", "x"))
+    topics = taxonomy.sector_framework(spark.createDataFrame(rows, FRAMEWORK), ["S"])
+    columns = "work_id string, skill_key string, skill_title string, course_title string, about string, learn string, course_text string"
+    work = spark.createDataFrame([(k, k, k.title(), "c", "a", "l", "t") for k in ("big", "small")], columns)
+    make = lambda: lambda system, prompt: str(len(prompt))
     for build, texts in ((round1_prompts, level_texts), (round2_prompts, knowledge_texts)):
-        prompts = build(work, texts(topics, ["ord"], max_topic_bytes=limit), ["work_id"])
-        rows = {r["work_id"]: r for r in prompts.collect()}
-        assert len(rows) == 3
-        assert rows["w1"]["prompt"] is None and rows["w1"]["prompt_error"] == TOO_LONG
-        assert rows["w2"]["prompt"] is not None and rows["w2"]["prompt_error"] is None
+        answers = score(build(work, texts(topics, ["ord"]), ["work_id"]), make, "s").collect()
+        sizes = {r["work_id"]: int(r["answer"]) for r in answers if r["error"] is None}
+        assert sizes["big"] > 9 << 20 and 0 < sizes["small"] < 10_000
 
 
 def test_relevance_without_broadcast(spark, work, topics):
@@ -195,9 +199,8 @@ def test_relevance_without_broadcast(spark, work, topics):
     }
 
 
-@pytest.mark.parametrize("max_topic_bytes", [1, 300, 1 << 20])
-def test_lexical_levels_do_not_depend_on_the_topic_size(work, topics, max_topic_bytes):
-    scored = lexical_levels(work, topics, "course_text", ["work_id"], ["ord"], max_topic_bytes)
+def test_lexical_levels(work, topics):
+    scored = lexical_levels(work, topics, "course_text", ["work_id"], ["ord"])
     assert {r["work_id"]: r["level"] for r in scored.collect()} == {"w1": 1, "w2": 0, "w3": 0}
 
 
@@ -230,29 +233,32 @@ def test_a_scorer_that_cannot_start_is_an_error_per_row(spark):
     assert errors == ["ValueError: no key", "no text", "ValueError: no key"]
 
 
-def test_rate_limit_is_shared_between_tasks(spark):
+@pytest.mark.parametrize("rows, partitions, calls, pause", [(80, 16, 40, 1.0), (20, 20, 4, 0.5)])
+def test_rate_limit_holds_for_any_partitions(spark, rows, partitions, calls, pause):
+    """Many small partitions, and more tasks than calls between two pauses."""
     make = lambda: lambda system, prompt: "{}"
+    columns = "work_id string, prompt string, prompt_error string"
+    prompts = spark.createDataFrame([(str(i), "p", None) for i in range(rows)], columns).repartition(partitions, "work_id")
     start = time.time()
-    score(prompts_of(spark, 13), make, "s", calls_per_pause=8, pause_seconds=0.5, tasks=2).count()
-    score(prompts_of(spark, 13), make, "s", calls_per_pause=8, pause_seconds=0.5, tasks=2).collect()
-    assert time.time() - start >= 1.5  # 12 calls, a pause after every 4
-
-
-def python_eta(done, total, elapsed):
-    left, block = total - done, 60
-    if done == 0:
-        return total * 0.6 + total // block * 10
-    position = done % block
-    pauses = 0 if position + left <= block else 1 + (left - (block - position)) // block
-    working = elapsed - done // block * 10
-    return left * working / done + pauses * 10 if working > 0 else left * 0.6
+    answers = score(prompts, make, "s", calls_per_pause=calls, pause_seconds=pause, tasks=8).collect()
+    assert len(answers) == rows
+    assert time.time() - start >= (rows - calls) * pause / calls
 
 
 def test_remaining_time(spark):
-    cases = [(0, 130, 0.0), (30, 130, 15.0), (60, 130, 40.0), (60, 500, 5.0), (59, 10_000, 60.0), (130, 130, 99.0), (60, 121, 70.0)]
-    df = spark.createDataFrame(cases, "d long, t long, e double")
+    # Rows done, all rows, seconds so far: seconds left, worked out by hand.
+    expected = {
+        (0, 130, 0.0): 98.0,
+        (30, 130, 15.0): 70.0,
+        (60, 130, 40.0): 45.0,
+        (60, 500, 5.0): 264.0,
+        (59, 10_000, 60.0): 11_769.4915254,
+        (130, 130, 99.0): 0.0,
+        (60, 121, 70.0): 71.0,
+    }
+    df = spark.createDataFrame(list(expected), "d long, t long, e double")
     got = [r[0] for r in df.select(eta_seconds(F.col("d"), F.col("t"), F.col("e"))).collect()]
-    assert got == pytest.approx([python_eta(*c) for c in cases])
+    assert got == pytest.approx(list(expected.values()))
     texts = {
         30.0: "Less than 1 minute remaining",
         61.0: "About 1 minute remaining",
