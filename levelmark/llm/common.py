@@ -45,11 +45,10 @@ def id_remainder(doc_id: str, divisor: int) -> Column:
     return (F.crc32(F.encode(text, "UTF-8")) % divisor).cast("int")
 
 
-def row_keys(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
-    return [
-        F.xxhash64(F.col(doc_id), F.col(text)).alias(ROW_KEYS[0]),
-        F.xxhash64(F.lit("second"), F.col(text), F.col(doc_id)).alias(ROW_KEYS[1]),
-    ]
+def row_keys(*also: str) -> list[Column]:
+    """ROW_KEYS of doc_id, text and the columns in `also`; null differs from any value."""
+    parts = [p for c in ("doc_id", "text", *also) for p in (F.col(c).isNull(), F.col(c))]
+    return [F.xxhash64(*parts).alias(ROW_KEYS[0]), F.xxhash64(F.lit("second"), *reversed(parts)).alias(ROW_KEYS[1])]
 
 
 def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:

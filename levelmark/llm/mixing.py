@@ -91,7 +91,7 @@ def plan_mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, levels: in
         F.col("source").isNull().alias("_no_source"),
         F.coalesce("source", F.lit("")).alias("_source"),
         F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
-        *row_keys(),
+        *row_keys("source"),
     )
     units = written(rows.groupBy(*rows.columns).agg(F.count("*").alias("_rows")), "units")
     units = units.withColumn("_words", F.col("size") * F.col("_rows"))
@@ -136,7 +136,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, levels: int = L
     shards and shuffled inside them (rows lie in that order)."""
     plan = plan_mixture(docs, weights, levels, seed).where(F.size("draws") > 0).select(*ROW_KEYS, "draws")
     plan = written(plan.dropDuplicates(ROW_KEYS), "draws")
-    drawn = lookup_join(docs.select("*", *row_keys()), plan, ROW_KEYS, "inner", ROW_KEYS)
+    drawn = lookup_join(docs.select("*", *row_keys("source")), plan, ROW_KEYS, "inner", ROW_KEYS)
     drawn = drawn.select(*docs.columns, F.explode("draws").alias("_draw"))
     order = ["_draw.shard", "_draw.place"]
     return drawn.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
