@@ -203,23 +203,23 @@ def learn_lexicons(sample: DataFrame) -> dict[int | None, Lexicon]:
     return {own: Lexicon(*(_weights(entries[k], toxic, clean, own) for k in ("word", "start"))) for own in (None, 1, 0)}
 
 
-def _with_features(docs: DataFrame, lexicons: dict[int | None, Lexicon], by_label: bool) -> DataFrame:
-    """Adds `x`, the features of `_text`; `_text` goes."""
+def _with_features(docs: DataFrame, lexicons: dict[int | None, Lexicon], by_label: bool, text: str = "_text", keep: bool = False) -> DataFrame:
+    """Adds `x`, the features of the text column, which goes unless `keep`."""
     sent = docs.sparkSession.sparkContext.broadcast(lexicons)  # at most 6 x LEXICON entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column(text).to_pylist()
             labels = batch.column("label").to_pylist() if by_label else [None] * len(texts)
-            x = pa.array([known[y].features(t) for t, y in zip(texts, labels, strict=True)], pa.list_(pa.float64()))
-            kept = [n for n in batch.schema.names if n != "_text"]
+            x = pa.array([known[y].features(t or "") for t, y in zip(texts, labels, strict=True)], pa.list_(pa.float64()))
+            kept = [n for n in batch.schema.names if keep or n != text]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), x], [*kept, "x"])
         for lexicon in known.values():  # the worker goes on to other tasks
             lexicon.codes.clear()
         give_back()
 
-    return docs.mapInArrow(run, schema_with(docs.drop("_text"), "x array<double>"))
+    return docs.mapInArrow(run, schema_with(docs if keep else docs.drop(text), "x array<double>"))
 
 
 class Model:
@@ -258,14 +258,14 @@ class Model:
     def _rated(self, rows: DataFrame) -> DataFrame:
         return self.trees.transform(rows).withColumn("p", vector_to_array("probability")[1])
 
-    def scored(self, docs: DataFrame) -> DataFrame:
-        """Adds `score` and `predicted` to documents with `_text`, which goes."""
+    def scored(self, docs: DataFrame, text: str = "_text", keep: bool = False) -> DataFrame:
+        """Adds `score` and `predicted`; the text column goes unless `keep`."""
+        columns = [c for c in docs.columns if keep or c != text]
         if self.score is not None:
-            rows = docs.drop("_text").withColumn("score", F.lit(self.score))
+            rows = docs.select(*columns, F.lit(self.score).alias("score"))
         else:
-            columns = [c for c in docs.columns if c != "_text"]
-            rows = self._rated(_with_features(docs, self.lexicons, False).withColumn("features", array_to_vector("x")))
-            rows = rows.withColumn("score", self._calibrated(F.col("p"))).select(*columns, "score")
+            rows = _with_features(docs, self.lexicons, False, text, keep).withColumn("features", array_to_vector("x"))
+            rows = self._rated(rows).select(*columns, self._calibrated(F.col("p")).alias("score"))
         return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
     def _calibrated(self, p):
@@ -296,6 +296,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` without the documents judged toxic; all its columns."""
     model = Model(docs, labels)
     named = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # clear of the columns added on the way
-    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in named.items()), F.coalesce("text", F.lit("")).alias("_text"))
-    kept = model.scored(rows).where("predicted = 0")
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in named.items()))
+    kept = model.scored(rows, named["text"], keep=True).where("predicted = 0")
     return kept.select(*(F.col(n).alias(c) for c, n in named.items()))
