@@ -36,10 +36,11 @@ def write_results(df: DataFrame, root: str, alias: str) -> None:
     write_buckets(df, f"{root}/sector={alias}")
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """Header in every part file; parts are written in parallel."""
+def write_csv(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
+    """Header in every part file; parts are written in parallel, in files of bounded length."""
     (
         df.write.mode("overwrite")
+        .option("maxRecordsPerFile", rows_per_file)
         .option("header", True)
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
