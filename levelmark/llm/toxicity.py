@@ -231,8 +231,10 @@ class Model:
         # At most SAMPLE ids: 12 bytes each.
         text = F.coalesce("text", F.lit("")).alias("_text")
         rows = docs.select("doc_id", text).join(F.broadcast(written(chosen, "labels")), "doc_id")
-        # Copies of a text would make its words look common; one of each is learnt from.
-        self.sample = written(rows.dropDuplicates(["_text"]).select("label", "_text", "doc_id"), "sample")
+        # Copies of a text would make its words look common; one of each is learnt from, the
+        # same in every run: the larger label, and the smallest id, which decides its use.
+        one = rows.groupBy("_text").agg(F.max("label").alias("label"), F.min("doc_id").alias("doc_id"))
+        self.sample = written(one.select("label", "_text", "doc_id"), "sample")
         shares = {r["label"]: r["count"] for r in self.sample.groupBy("label").count().collect()}
         self.score = None if len(shares) == 2 else float(next(iter(shares), 0))
         if self.score is None:
@@ -241,7 +243,9 @@ class Model:
     def _fit(self) -> None:
         self.lexicons = learn_lexicons(self.sample)
         rows = _with_features(self.sample, self.lexicons, True).withColumn("weight", F.lit(1.0))
-        rows = written(rows.coalesce(4), "training").withColumn("features", array_to_vector("x"))
+        # Places and order by id, so that the trees see the rows alike in every run.
+        rows = rows.repartition(4, "doc_id").sortWithinPartitions("doc_id", "label", "x")
+        rows = written(rows, "training").withColumn("features", array_to_vector("x"))
         aside = F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(CALIBRATE)) == 0
         seen = rows.where(~aside)
         if seen.select("label").distinct().count() < 2:
@@ -285,7 +289,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     crc32(doc_id) modulo 5 is not 0; scores all. Null and empty texts have
     all-zero features. Without labelled rows of both classes every score is the
     one class there is, or 0. Of several labels of an id the larger counts; only
-    doc_id and text are read; repeated rows are scored one by one.
+    doc_id and text are read; repeated rows are scored one by one. The same rows
+    give the same scores, whatever their partitions.
     """
     model = Model(docs, labels)
     held = (id_remainder("doc_id", FOLDS) == HELD_OUT).alias("held_out")

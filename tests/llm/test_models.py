@@ -71,6 +71,13 @@ def test_odd_documents_are_scored_by_models(spark):
     assert not left & {i for i, t in rows if "moron" in t} and {i for i, t in rows if "moron" not in t} <= left
 
 
+def test_toxicity_does_not_depend_on_partitions(spark):
+    docs, labels = (spark.read.parquet(f"{LARGER}/{name}.parquet") for name in ("documents", "labels"))
+    first = toxicity.score_toxicity(docs, labels).select("doc_id", "score")
+    second = toxicity.score_toxicity(docs.repartition(7, "n_chars"), labels.repartition(3)).select("doc_id", "score")
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, second.collect()))
+
+
 def test_obfuscated_words_are_read():
     assert toxicity.spellings("s.t.u.p.i.d!!") == (["s", "t", "u", "p", "i", "d", "stupid"], True)
     assert toxicity.spellings("idi0t") == (["idi", "t", "idiot"], True)
