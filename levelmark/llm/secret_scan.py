@@ -1,14 +1,17 @@
 """Secrets in texts: known forms, and runs that pass a battery of randomness tests.
 
 Known forms (`assign`, `access`, `hex`) are found by pattern. Other long runs of
-code characters that mix letters and digits are candidates: their encoding is
-inferred from the characters they use, and three tests ask whether they look
+code characters that mix letters and digits are candidates. `=` belongs to a run
+only as padding at its end; `+`, `/`, `_` and `-` may be symbols of an encoding or
+stand between a path, a name and a value, so a text is read with each of READINGS
+as symbols and the others as ends of a run. The encoding of a candidate is
+inferred from the characters it uses, and three tests ask whether they look
 drawn at random from its alphabet: chi-squared uniformity of the symbols, the
 number of runs above and below the middle of the alphabet, and the serial
 correlation of neighbours. The smallest of the three p-values, times three, is
 the candidate's. Randomness is rejected by Benjamini-Hochberg within classes of
 length, so that many short runs do not set the threshold of long ones; what is
-not rejected is reported as `random`.
+not rejected is reported as `random`, overlapping readings as one span.
 
 DataFrame functions only. Positions come from running sums over the pieces of a
 text between matches and the matches, so long texts cost no more per character.
@@ -29,8 +32,20 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "random")
 
-#: Candidates: whole runs of at least 20 code characters, a digit among them.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"
+#: Characters that count as symbols beside letters and digits, per reading.
+READINGS = ("+/", "_-", "+", "")
+#: Least length of a candidate, with its padding.
+CANDIDATE_LEAST = 20
+PADDING = r"={1,6}(?![A-Za-z0-9+/_=-])"
+
+
+def _candidate(others: str) -> str:
+    """Whole runs of at least 20 code characters, padding included, a digit among them."""
+    code = f"A-Za-z0-9{others}"
+    run = f"(?:[{code}]{{20,}}(?:{PADDING})?|[{code}]{{14,19}}{PADDING})"
+    return f"(?<![{code}])(?=[A-Za-z{others}]*[0-9]){run}"
+
+
 #: Encodings by the characters used, first fit first; each needs letters and digits.
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ENCODINGS = {
@@ -46,18 +61,19 @@ FALSE_REJECTIONS = 0.05
 STEP = 0.05
 
 
-def _matches(kind: str, pattern: str, present: Column) -> Column:
-    """The matches of a kind in `_text`: number, characters since the last match,
-    characters of the match, whether it is long enough, the run of a candidate."""
+def _matches(kind: str, pattern: str, present: Column, reading: int = 0) -> Column:
+    """The matches of a kind in `_text`: reading, number, characters since the last
+    match, characters of the match, whether it is long enough, the run of a candidate."""
     text, whole = F.col("_text"), F.lit(pattern)
     found = F.regexp_extract_all(text, whole, F.lit(0))
     between = F.split(text, pattern, -1)
     value = F.regexp_extract_all(text, whole, F.lit(2)) if kind == "assign" else found
-    least = ASSIGN_LEAST if kind == "assign" else 0
+    least = {"assign": ASSIGN_LEAST, "random": CANDIDATE_LEAST}.get(kind, 0)
     matches = F.transform(
         F.arrays_zip(found.alias("match"), between.alias("before"), value.alias("value")),
         lambda m, i: F.struct(
             F.lit(KINDS.index(kind)).alias("kind"),
+            F.lit(reading).alias("reading"),
             i.alias("i"),
             F.char_length(m["before"]).alias("gap"),
             F.char_length(m["match"]).alias("size"),
@@ -78,7 +94,7 @@ def _found() -> Column:
         _matches("assign", ASSIGN, assigned),
         _matches("access", ACCESS, F.contains(text, F.lit("AKIA"))),
         _matches("hex", HEX, text.rlike(HEX)),
-        _matches("random", CANDIDATE, text.rlike(CANDIDATE)),
+        *(_matches("random", _candidate(x), text.rlike(_candidate(x)), i) for i, x in enumerate(READINGS)),
     ]
     return F.flatten(F.array_compact(F.array(*kinds))).alias("found")
 
@@ -161,9 +177,10 @@ def scan(docs: DataFrame, rate: float = FALSE_REJECTIONS) -> DataFrame:
     rows = written(texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", _found()), "found")
     match = rows.where(F.size("found") > 0).select("row", F.explode("found").alias("m")).select("row", "m.*")
     match = match.repartition("row")
-    so_far = Window.partitionBy("row", "kind").orderBy("i")
+    so_far = Window.partitionBy("row", "kind", "reading").orderBy("i")
     match = match.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far).cast("int"))
     match = match.withColumn("start", F.col("end") - F.col("size")).where("counts")
+    match = match.dropDuplicates(["row", "kind", "start", "end"])  # readings that agree
     base = F.col("kind") < KINDS.index("random")
     order = Window.partitionBy("row").orderBy("start", "kind", "end")
     reached = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -177,6 +194,12 @@ def scan(docs: DataFrame, rate: float = FALSE_REJECTIONS) -> DataFrame:
         rejected = rejected | ((_length_class() == class_) & (_p_step() >= step))
     base = F.col("kind") < KINDS.index("random")
     kept = spans.where(base | (F.col("p").isNotNull() & ~rejected))
+    # Random readings that overlap become one span; base matches stay as they are.
+    order = Window.partitionBy("row", "kind").orderBy("start", F.desc("end"))
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    kept = kept.withColumn("_new", base | reached.isNull() | (F.col("start") >= reached))
+    kept = kept.withColumn("_island", F.sum(F.col("_new").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = kept.groupBy("row", "kind", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     name = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
     span = F.concat_ws(":", name, F.col("start").cast("string"), F.col("end").cast("string")).alias("span")
     grouped = kept.groupBy("row").agg(

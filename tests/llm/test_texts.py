@@ -133,6 +133,33 @@ def test_random_runs_are_secrets_and_regular_ones_are_not(spark):
     assert all(rows[i]["n_random"] == 0 for i in range(61, len(rows) + 1))
 
 
+def found_in(spark, before, secrets, after):
+    """How many secrets, set between the two texts, lie in a random span; none beside it."""
+    rows = {r["doc_id"]: r for r in secret_scan.scan(documents(spark, [before + s + after for s in secrets])).collect()}
+    found = 0
+    for i, secret in enumerate(secrets, 1):
+        spans = [tuple(map(int, s.split(":")[1:])) for s in rows[i]["spans"].split(",") if s.startswith("random")]
+        assert len(spans) == rows[i]["n_random"] <= 1
+        found += any(a <= len(before) and b >= len(before) + len(secret) for a, b in spans)
+    return found
+
+
+@pytest.mark.parametrize(
+    "before, after",
+    [("AUTH=", ""), ("x?sig=", "&n=1"), ("DB_KEY=", " "), ("/a_b/", "/c"), ("see /a_b/", ".html"), ("https://h.io/v1/my-files/", "?x=1")],
+)
+def test_random_runs_after_names_and_in_paths(spark, before, after):
+    assert found_in(spark, before, random_runs(60), after) >= 54
+
+
+def test_padding_belongs_to_the_run(spark):
+    secrets = [s[:42] + "==" for s in random_runs(60)]
+    rows = secret_scan.scan(documents(spark, [f"AUTH={s}" for s in secrets])).collect()
+    assert sum(r["spans"] == "random:5:49" for r in rows) >= 54
+    rows = secret_scan.scan(documents(spark, [f"{s}={s}" for s in random_runs(60)])).collect()
+    assert sum(r["spans"] == "random:0:44,random:45:89" for r in rows) >= 48
+
+
 def plain_components(rows, k, percent):
     sets = {}
     for i, text in rows:
