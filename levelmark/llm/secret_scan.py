@@ -5,7 +5,8 @@ code characters that mix letters and digits are candidates. `=` belongs to a run
 only as padding at its end; `+`, `/`, `_` and `-` may be symbols of an encoding or
 stand between a path, a name and a value, so a text is read with each of READINGS
 as symbols and the others as ends of a run. The encoding of a candidate is
-inferred from the characters it uses, and three tests ask whether they look
+inferred from the characters it uses (the smallest alphabet that holds them; `_`
+and `-` in a run of one case are separators), and three tests ask whether they look
 drawn at random from its alphabet: chi-squared uniformity of the symbols, the
 number of runs above and below the middle of the alphabet, and the serial
 correlation of neighbours. The smallest of the three p-values, times three, is
@@ -40,20 +41,25 @@ PADDING = r"={1,6}(?![A-Za-z0-9+/_=-])"
 
 
 def _candidate(others: str) -> str:
-    """Whole runs of at least 20 code characters, padding included, a digit among them."""
+    """Whole runs of at least 20 code characters, padding included, with a letter and a digit."""
     code = f"A-Za-z0-9{others}"
     run = f"(?:[{code}]{{20,}}(?:{PADDING})?|[{code}]{{14,19}}{PADDING})"
-    return f"(?<![{code}])(?=[A-Za-z{others}]*[0-9]){run}"
+    return f"(?<![{code}])(?=[A-Za-z{others}]*[0-9])(?=[0-9{others}]*[A-Za-z]){run}"
 
 
-#: Encodings by the characters used, first fit first; each needs letters and digits.
+#: Encodings by the characters used, first fit first, base64 for all that is left.
+#: A run of one case has no symbols '-' and '_': there they separate, and are taken out.
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ENCODINGS = {
-    "hex": ("^(?=.*[A-F])(?=.*[0-9])[0-9A-F]+$", DIGITS + "ABCDEF"),
-    "base32": ("^(?=.*[A-Z])(?=.*[2-7])[A-Z2-7]+=*$", UPPER + "234567"),
-    "base36": ("^(?=.*[a-z])(?=.*[0-9])[a-z0-9]+$", DIGITS + LOWER),
-    "base64": ("^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])[A-Za-z0-9+/]+=*$", UPPER + LOWER + DIGITS + "+/"),
-    "base64url": ("^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])[A-Za-z0-9_-]+=*$", UPPER + LOWER + DIGITS + "-_"),
+    "hex": ("^[0-9A-F_-]+=*$", DIGITS + "ABCDEF"),
+    "hex_lower": ("^[0-9a-f_-]+=*$", DIGITS + "abcdef"),
+    "base32": ("^[A-Z2-7_-]+=*$", UPPER + "234567"),
+    "base32_lower": ("^[a-z2-7_-]+=*$", LOWER + "234567"),
+    "base36_upper": ("^[A-Z0-9_-]+=*$", DIGITS + UPPER),
+    "base36": ("^[a-z0-9_-]+=*$", DIGITS + LOWER),
+    "base62": ("^[A-Za-z0-9]+=*$", UPPER + LOWER + DIGITS),
+    "base64url": ("^[A-Za-z0-9_-]+=*$", UPPER + LOWER + DIGITS + "-_"),
+    "base64": ("^[A-Za-z0-9+/]+=*$", UPPER + LOWER + DIGITS + "+/"),
 }
 #: Part of the random candidates that may be rejected, on average.
 FALSE_REJECTIONS = 0.05
@@ -105,12 +111,17 @@ def _normal_tail(z: Column) -> Column:
 
 
 def with_p_values(runs: DataFrame) -> DataFrame:
-    """Adds `p` to rows with `run`: the p-value of randomness, null where no encoding fits."""
+    """Adds `p` to rows with `run`: the p-value of randomness, null for a null run and
+    where fewer than 20 characters remain without separators."""
     alphabet = F.lit(None).cast("string")
     for pattern, symbols in reversed(ENCODINGS.values()):
         alphabet = F.when(F.col("run").rlike(pattern), F.lit(symbols)).otherwise(alphabet)
     rows = runs.withColumn("_alphabet", alphabet)
-    rows = rows.withColumn("_code", F.when(F.col("_alphabet").isNotNull(), F.regexp_replace("run", "=+$", "")))
+    symbols_only = F.regexp_replace("run", "=+$", "")
+    parted = ~F.contains("_alphabet", F.lit("_"))
+    code = F.when(parted, F.regexp_replace(symbols_only, "[_-]", "")).otherwise(symbols_only)
+    left = F.char_length("run") - F.char_length(symbols_only) + F.char_length(code)
+    rows = rows.withColumn("_code", F.when(left >= CANDIDATE_LEAST, code))
     code, letters = F.col("_code"), F.col("_alphabet")
     symbols = lambda text: F.filter(F.split(text, ""), lambda c: c != "")
     k, n = F.char_length(letters).cast("double"), F.char_length(code).cast("double")

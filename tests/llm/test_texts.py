@@ -160,6 +160,51 @@ def test_padding_belongs_to_the_run(spark):
     assert sum(r["spans"] == "random:0:44,random:45:89" for r in rows) >= 48
 
 
+def drawn(letters, sizes, joined, before=""):
+    draw = random.Random(5)
+    return [before + joined.join("".join(draw.choices(letters, k=n)) for n in sizes) for _ in range(60)]
+
+
+CAPITALS, SMALL, HEX = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef"
+
+
+@pytest.mark.parametrize(
+    "letters, sizes, joined, before",
+    [
+        (CAPITALS, [24], "", ""),
+        (CAPITALS, [40], "", ""),
+        (CAPITALS, [5] * 5, "-", ""),
+        (HEX, [8, 4, 4, 4, 12], "-", ""),
+        (HEX.upper(), [8, 4, 4, 4, 12], "-", ""),
+        (SMALL, [32], "", "sk_live_"),
+        (SMALL, [16, 16], "_", ""),
+    ],
+)
+def test_runs_of_one_case_are_tested(spark, letters, sizes, joined, before):
+    assert found_in(spark, "the ", drawn(letters, sizes, joined), " end") >= 52
+    if before:
+        assert found_in(spark, "the " + before, drawn(letters, sizes, joined), " end") >= 52
+
+
+def test_every_candidate_has_a_p_value(spark):
+    draw = random.Random(9)
+    made = []
+    for others in secret_scan.READINGS:
+        code = "".join(draw.sample(CAPITALS + SMALL[:26] + others, k=12))
+        made += ["".join(draw.choices(code, k=draw.randint(24, 60))) for _ in range(100)]
+    candidates = [m[0] for t in made for x in secret_scan.READINGS for m in re.finditer(secret_scan._candidate(x), t)]
+    candidates = [c for c in candidates if len(re.sub("[_-]", "", c)) >= 20]
+    rows = secret_scan.with_p_values(spark.createDataFrame([(c,) for c in candidates], "run string")).collect()
+    assert len(rows) > 200 and all(r["p"] is not None and 0 <= r["p"] <= 1 for r in rows)
+
+
+def test_regular_runs_of_one_case_are_not_secrets(spark):
+    regular = ["chapter-12-of-the-annual-report-on-the-state-of-the-economy", "SECTION_1_SECTION_1_SECTION_1_SECTION_1", "-" * 30 + "a1" + "_" * 30,
+               "1234-5678-9012-3456-7890-1234", "2024-11-30T10-20-30-000", "aaaaaaaaaaaaaaaa-1111111111111111", "https://example.org/blog/2024/how-the-weather-changes-the-weather"] * 3
+    rows = secret_scan.scan(documents(spark, [f"see {r} here" for r in regular])).collect()
+    assert [r["spans"] for r in rows if r["n_random"]] == []
+
+
 def plain_components(rows, k, percent):
     sets = {}
     for i, text in rows:
