@@ -74,13 +74,15 @@ def _shares(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
 
 
 def plan_mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, levels: int = LEVELS, seed: int = SEED) -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target, ROW_KEYS
-    and `draws`, an array of (epoch, block, shard, place), one entry each time
-    the mixture takes the document.
+    """One row per document: doc_id, size, source, source_size, target, `draws`,
+    an array of (epoch, block, shard, place), one entry each time the mixture
+    takes the document, ROW_KEYS, and `copy`, its number among the `copies` of
+    its row.
 
     Size counts words of non-space characters; a null text has none. Sources
     stand in code-point order, null last, and weigh `weights`, repeating. Repeats
-    of one row (id, source, text) are drawn alike. Documents without words may
+    of one row (id, source, text) stand side by side in the order and are drawn
+    one by one. Documents without words may
     be drawn, which takes no words. Reruns agree: order and draws follow
     from `seed` and the rows. An empty table gives no rows; columns beside
     doc_id, source and text are not read.
@@ -93,8 +95,8 @@ def plan_mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, levels: in
         F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
         *row_keys("source"),
     )
-    units = written(rows.groupBy(*rows.columns).agg(F.count("*").alias("_rows")), "units")
-    units = units.withColumn("_words", F.col("size") * F.col("_rows"))
+    units = written(rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")), "units")
+    units = units.withColumn("_words", F.col("size") * F.col("copies"))
 
     sources = _targets(written(units.groupBy(*SOURCE).agg(F.sum("_words").alias("words")), "sources"), weights)
     block_words = F.lit(max(1, (sources.agg(F.sum("words")).first()[0] or 0) // (BLOCKS_PER_SHARD << levels)))
@@ -108,14 +110,15 @@ def plan_mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, levels: in
     shuffled = running_totals(shuffled, [*SOURCE, "_order", *ROW_KEYS], _before="_words")
     facts = sources.select(*SOURCE, "words", "words_before", "target", "round", "ends")
     placed = lookup_join(shuffled, facts, SOURCE, "inner", ROW_KEYS)
+    placed = placed.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
     # A document is taken when its middle lies before the target; blocks go by the middle too.
-    middle = F.col("_before") - F.col("words_before") + F.col("_words") / 2
+    middle = F.col("_before") - F.col("words_before") + (F.col("copy") - 0.5) * F.col("size")
     placed = placed.withColumn("_middle", middle).withColumn("_block", F.floor(middle / block_words))
 
     def draw(epoch: int):
         block = F.col("_block") + epoch * F.col("round")
         shard = F.least(F.size(F.filter("ends", lambda end: end <= block)), F.lit((1 << levels) - 1))
-        place = F.xxhash64(F.lit(seed), F.lit(epoch), "_block", *ROW_KEYS)
+        place = F.xxhash64(F.lit(seed), F.lit(epoch), "_block", "copy", *ROW_KEYS)
         entry = F.named_struct(F.lit("epoch"), F.lit(epoch), F.lit("block"), block, F.lit("shard"), shard, F.lit("place"), place)
         return F.when(F.col("_middle") + epoch * F.col("words") < F.col("target"), entry)
 
@@ -127,16 +130,39 @@ def plan_mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, levels: in
         "target",
         F.array_compact(F.array(*map(draw, range(MOST)))).alias("draws"),
         *ROW_KEYS,
-        F.explode(F.sequence(F.lit(1).cast("long"), "_rows")).alias("_copy"),
-    ).drop("_copy")
+        "copy",
+        "copies",
+    )
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """`rows` (with ROW_KEYS), each with `copy`, its number among those of its keys.
+
+    Equal rows are counted, not numbered, before the shuffle."""
+    variant = F.xxhash64(*(part for c in rows.columns for part in (F.col(c).isNull(), F.col(c)))).alias("_variant")
+    one = F.first(F.struct(*rows.columns)).alias("_row")
+    variants = rows.groupBy(*ROW_KEYS, variant).agg(one, F.count("*").alias("_n"))
+    variants = running_totals(variants, [*ROW_KEYS, "_variant"], _before="_n")
+    first = variants.groupBy(*ROW_KEYS).agg(F.min("_before").alias("_first"))
+    variants = lookup_join(variants, first, ROW_KEYS, "inner", [*ROW_KEYS, "_variant"])
+    before = F.col("_before") - F.col("_first")
+    copies = F.explode(F.sequence(before + 1, before + F.col("_n"))).alias("copy")
+    return variants.select("_row", copies).select("_row.*", "copy")
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, levels: int = LEVELS, seed: int = SEED) -> DataFrame:
     """The mixed documents: all columns of `docs`, as often as drawn, dealt to
     shards and shuffled inside them (rows lie in that order)."""
-    plan = plan_mixture(docs, weights, levels, seed).where(F.size("draws") > 0).select(*ROW_KEYS, "draws")
-    plan = written(plan.dropDuplicates(ROW_KEYS), "draws")
-    drawn = lookup_join(docs.select("*", *row_keys("source")), plan, ROW_KEYS, "inner", ROW_KEYS)
+    plan = plan_mixture(docs, weights, levels, seed).where(F.size("draws") > 0)
+    plan = written(plan.select(*ROW_KEYS, "copy", "copies", "draws"), "draws")
+    keyed, single = docs.select("*", *row_keys("source")), plan.where("copies = 1").select(*ROW_KEYS, "draws")
+    drawn = lookup_join(keyed, single, ROW_KEYS, "inner", ROW_KEYS)
+    repeated = plan.where("copies > 1").select(*ROW_KEYS, "copy", "draws")
+    if not repeated.isEmpty():
+        keys = repeated.select(*ROW_KEYS).distinct()
+        copies = _numbered(lookup_join(keyed, keys, ROW_KEYS, "left_semi", ROW_KEYS))
+        on = [*ROW_KEYS, "copy"]
+        drawn = drawn.unionByName(lookup_join(copies, repeated, on, "inner", on).drop("copy"))
     drawn = drawn.select(*docs.columns, F.explode("draws").alias("_draw"))
     order = ["_draw.shard", "_draw.place"]
     return drawn.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)

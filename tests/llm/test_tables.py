@@ -74,6 +74,31 @@ def test_mixture(spark, docs):
     assert {(r["size"], r["target"]) for r in mixing.plan_mixture(empty).collect()} == {(0, 0.0)}
 
 
+def test_mixture_takes_repeats_one_by_one(spark):
+    """A source of repeats, one that holds a third of them, and one of documents of their own."""
+    rows = [(None, "five words in a row", "en", "a", i % 2, 2, 3, 4.0) for i in range(300)]
+    rows += [(None, "three more words", "en", "b", 1, 2, 3, 4.0)] * 100
+    rows += [(i, "w " * (i % 9), "en", "b", 1, 2, 3, 4.0) for i in range(200)] + [(i, "w " * 9, "en", "c", 1, 2, 3, 4.0) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    plan = mixing.plan_mixture(docs, weights=(1, 3, 12)).collect()
+    assert len(plan) == len(rows)
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += len(r[1].split())
+    targets, taken = filled(sizes, (1, 3, 12)), Counter()
+    for r in plan:
+        taken[r["source"]] += r["size"] * len(r["draws"])
+    assert targets["a"] < sizes["a"] / 2 and all(abs(taken[s] - targets[s]) <= 9 for s in sizes)
+    drawn = mixing.mixture(docs, weights=(1, 3, 12))
+    words = Counter()
+    for r in drawn.collect():
+        words[r["source"]] += len(r["text"].split())
+    assert words == taken and drawn.columns == docs.columns
+    assert set(map(tuple, drawn.collect())) <= set(rows)
+    every = mixing.mixture(docs, weights=(10**6, 1, 1)).where("source = 'a'").groupBy("n_chars").count().collect()
+    assert {r["n_chars"]: r["count"] for r in every} == {0: 300, 1: 300}
+
+
 def test_splitting_tree_keeps_sums(spark):
     quotas = {0: 1000, 1: 37, 2: 0, 3: 5}
     df = spark.createDataFrame(list(quotas.items()), "rank long, blocks long")
