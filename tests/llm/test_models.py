@@ -1,15 +1,18 @@
 """Held-out accuracy of the fitted scorers, their odd cases, and the pipeline."""
 
 import hashlib
+import re
 from collections import Counter
 from zlib import crc32
 
 import numpy as np
 import pytest
+from test_tables import filled
+from test_texts import plain_components
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from levelmark.llm import quality, toxicity
+from levelmark.llm import mixing, quality, toxicity
 from levelmark.llm.queries import ORACLES, QUERIES, VOCABULARY
 from levelmark.sources.shared import written
 
@@ -107,6 +110,18 @@ def test_pipeline_stages(spark, folder):
         key = (r["text"] or "").translate(lower)
         last[key] = max(last.get(key, -1), r["doc_id"])
     assert {r["doc_id"] for r in after["exact dedup"]} == set(last.values())
+    judged = toxicity.score_toxicity(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")).collect()
+    clean = Counter(r["doc_id"] for r in judged if not r["predicted"])
+    assert Counter(r["doc_id"] for r in after["toxicity"]) == clean and clean.total() < len(judged)
+    linked = plain_components([(r["doc_id"], r["text"]) for r in kept["n-gram Jaccard join"]], 5, 80)
+    assert Counter(r["doc_id"] for r in after["n-gram Jaccard join"]) == Counter({root: 1 for _, root in linked.values()})
+    sizes, taken, longest = Counter(), Counter(), 0
+    for rows, words in ((kept["mixing sources to target weights"], sizes), (after["mixing sources to target weights"], taken)):
+        for r in rows:
+            n = len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+            words[r["source"]], longest = words[r["source"]] + n, max(longest, n)
+    targets = filled(sizes, mixing.WEIGHTS)
+    assert all(abs(taken[s] - targets[s]) <= longest for s in sizes)
     mixed = Counter(r["doc_id"] for r in after["mixing sources to target weights"])
     assert max(mixed.values()) <= 2 and set(mixed) <= {r["doc_id"] for r in kept["mixing sources to target weights"]}
     library = Tokenizer.from_file(VOCABULARY)
