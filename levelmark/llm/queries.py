@@ -1,7 +1,7 @@
 """One query per operator over the given tables, and SQL twins where SQL can say it.
 
 Without a twin: op1, op9 (fitted models), op3 (spans of the randomness tests), op5
-(approximate search), op6, op10 (hashed orders, curve numbers) and op7 (BPE). The
+(approximate search), op6, op10 (hashed orders, curve numbers), op7 (BPE) and op13 (eigenvectors). The
 tests in `tests/llm` hold these against brute force.
 """
 
@@ -23,6 +23,7 @@ from levelmark.llm import (
     toxicity,
     trie_bpe,
     url_filter,
+    whitening,
 )
 from levelmark.llm.common import ROW_KEYS, table
 
@@ -80,6 +81,10 @@ def op10_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     return hilbert.shard_layout(table(spark, folder, "documents")).drop(*ROW_KEYS)
 
 
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_ngram_join,
         op9_toxicity,
         op10_hilbert_shards,
+        op13_whitening,
     )
 }
 
