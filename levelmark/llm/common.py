@@ -58,16 +58,16 @@ def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     The names are broadcast where their measured size allows, else joined by a
     shuffle.
     """
-    columns = docs.columns
     dropped = written(dropped, "dropped")
-    keyed = docs.select("*", *row_keys())
+    named = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # clear of the columns added on the way
+    keyed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in named.items()), *row_keys())
     gone = dropped.where(~F.col("spare")).select(*ROW_KEYS).distinct()
     kept = lookup_join(keyed, gone, ROW_KEYS, "left_anti", ROW_KEYS)
     repeated = dropped.where("spare").select(*ROW_KEYS).distinct()
     if not repeated.isEmpty():
         once = lookup_join(kept, repeated, ROW_KEYS, "left_semi", ROW_KEYS).dropDuplicates(ROW_KEYS)
         kept = lookup_join(kept, repeated, ROW_KEYS, "left_anti", ROW_KEYS).unionByName(once)
-    return kept.select(*columns)
+    return kept.select(*(F.col(n).alias(c) for c, n in named.items()))
 
 
 def give_back() -> None:

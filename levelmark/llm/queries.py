@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from levelmark.llm import (
     block_naming,
+    decontamination,
     hilbert,
     mixing,
     quality,
@@ -81,6 +82,10 @@ def op10_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     return hilbert.shard_layout(table(spark, folder, "documents")).drop(*ROW_KEYS)
 
 
+def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.digests(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
 
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_ngram_join,
         op9_toxicity,
         op10_hilbert_shards,
+        op11_decontamination,
         op13_whitening,
     )
 }
@@ -157,4 +163,31 @@ SELECT d.doc_id, len(d.g) AS n_shingles,
 FROM grams d JOIN sets s ON list_sort(d.g) = s.g LEFT JOIN least l USING (node)
 """
 
-ORACLES: dict[str, str] = {"op2_url_filter": _URL_SQL, "op4_exact_dedup": _COPIES_SQL, "op8_ngram_join": _NGRAM_SQL}
+_LEAKS_SQL = f"""
+WITH items AS (
+  SELECT coalesce(item_id::varchar, '') AS item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS k, unnest([array_to_string(w[i:i + least(len(w), 10) - 1], ' ')
+         FOR i IN range(1, len(w) - least(len(w), 10) + 2)]) AS win
+  FROM items WHERE len(w) > 0),
+docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+places AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM docs),
+found AS (
+  SELECT r, i, k, item FROM places CROSS JOIN (SELECT DISTINCT k FROM windows) sizes
+  JOIN windows USING (k) WHERE array_to_string(w[i:i + k - 1], ' ') = win),
+hits AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS j FROM found) GROUP BY r),
+named AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS all_items FROM found GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(all_items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
+"""
+
+ORACLES: dict[str, str] = {
+    "op2_url_filter": _URL_SQL,
+    "op4_exact_dedup": _COPIES_SQL,
+    "op8_ngram_join": _NGRAM_SQL,
+    "op11_decontamination": _LEAKS_SQL,
+}
