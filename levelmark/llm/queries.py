@@ -1,8 +1,8 @@
 """One query per operator over the given tables, and SQL twins where SQL can say it.
 
 Without a twin: op1, op9 (fitted models), op3 (spans of the randomness tests), op5
-(approximate search), op6, op10 (hashed orders, curve numbers), op7 (BPE) and op13 (eigenvectors). The
-tests in `tests/llm` hold these against brute force.
+(approximate search), op6, op10 (hashed orders, curve numbers), op7, op12 (BPE) and op13
+(eigenvectors). The tests in `tests/llm` hold these against brute force.
 """
 
 import os
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from levelmark.llm import (
+    alignment,
     block_naming,
     decontamination,
     hilbert,
@@ -28,9 +29,12 @@ from levelmark.llm import (
 )
 from levelmark.llm.common import ROW_KEYS, table
 
-#: Vocabulary file; another one by the environment.
+#: Vocabulary files; others by the environment.
 VOCABULARY = os.environ.get("LEVELMARK_VOCABULARY") or public_tokenizers.path("word_bpe_49k.json")
 
+ALIGNED_A = os.environ.get("LEVELMARK_VOCABULARY_A") or public_tokenizers.path("byte_bpe_50k.json")
+ALIGNED_B = os.environ.get("LEVELMARK_VOCABULARY_B") or public_tokenizers.path("piece_bpe_32k.model")
+
 URL_RULES = [
     ("allow", "org/"),
     ("block", "example.org/es/"),
@@ -86,6 +90,10 @@ def op11_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.digests(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.digests(table(spark, folder, "documents"), ALIGNED_A, ALIGNED_B)
+
+
 def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(table(spark, folder, "embeddings"))
 
@@ -104,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_toxicity,
         op10_hilbert_shards,
         op11_decontamination,
+        op12_token_alignment,
         op13_whitening,
     )
 }
@@ -174,10 +183,11 @@ windows AS (
 docs AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents),
-places AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM docs),
-found AS (
-  SELECT r, i, k, item FROM places CROSS JOIN (SELECT DISTINCT k FROM windows) sizes
-  JOIN windows USING (k) WHERE array_to_string(w[i:i + k - 1], ' ') = win),
+lists AS (
+  SELECT r, k, [array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)] AS wins
+  FROM docs CROSS JOIN (SELECT DISTINCT k FROM windows) sizes WHERE len(w) >= k),
+grams AS (SELECT r, k, unnest(wins) AS win, unnest(range(1, len(wins) + 1)) AS i FROM lists),
+found AS (SELECT r, i, k, item FROM grams JOIN windows USING (k, win)),
 hits AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + k)) AS j FROM found) GROUP BY r),
 named AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS all_items FROM found GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
