@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from levelmark.llm.common import give_back, schema_with
+from levelmark.llm.common import give_back, schema_with, slices
 from levelmark.llm.trie_bpe import _byte_alphabet
 from levelmark.sources.shared import written
 
@@ -274,18 +274,6 @@ def _sent(df: DataFrame, path_a: str, path_b: str):
         return df.sparkSession.sparkContext.broadcast((a.read(), b.read()))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Rows whose texts have about SLICE_CHARS characters together, with the texts."""
-    for batch in batches:
-        start, texts, size = 0, [], 0
-        for i, value in enumerate(batch.column(column)):
-            texts.append(value.as_py())
-            size += len(texts[-1])
-            if size >= SLICE_CHARS or i + 1 == batch.num_rows:
-                yield batch.slice(start, i + 1 - start), texts
-                start, texts, size = i + 1, [], 0
-
-
 def _lists(values: np.ndarray, starts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values.astype(np.int32)))
 
@@ -298,7 +286,7 @@ def token_groups(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders = _coders((path_a, path_b), sent)
-        for rows, texts in _slices(batches, "_text"):
+        for rows, texts in slices(batches, "_text", SLICE_CHARS):
             x = align(coders, texts)
             groups = np.repeat(np.arange(len(texts)), np.diff(x.texts_g))
             ends = [g[1:] - t[groups] for g, t in ((x.groups_a, x.texts_a), (x.groups_b, x.texts_b))]
@@ -370,7 +358,7 @@ class _Chunk:
 def _counted(batches: Iterator[pa.RecordBatch], coders: Coders) -> Iterator[pa.RecordBatch]:
     first = TaskContext.get().partitionId() << 32
     chunk = _Chunk(first)
-    for rows, texts in _slices(batches, "_text"):
+    for rows, texts in slices(batches, "_text", SLICE_CHARS):
         chunk.add(rows, texts, coders)
         if chunk.chars >= CHUNK_CHARS or sum(map(len, chunk.facts)) >= 1 << 20:
             yield from chunk.output()

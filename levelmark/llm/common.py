@@ -78,6 +78,23 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: Characters of the texts that a worker holds as Python strings at a time.
+SLICE_CHARS = 1_000_000
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The rows in parts whose texts have about `chars` characters together, with
+    these texts (null as empty)."""
+    for batch in batches:
+        start, texts, size = 0, [], 0
+        for i, value in enumerate(batch.column(text)):
+            texts.append(value.as_py() or "")
+            size += len(texts[-1])
+            if size >= chars or i + 1 == batch.num_rows:
+                yield batch.slice(start, i + 1 - start), texts
+                start, texts, size = i + 1, [], 0
+
+
 def _sums_in_range(weights: dict[str, str]):
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()

@@ -8,9 +8,9 @@ import pyarrow as pa
 #: Bytes of text worked on at a time (single longer texts are taken alone).
 SLICE_BYTES = 1 << 20
 
-_random = np.random.default_rng(20_240_601)
-_BYTE = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+_KEY = np.uint64(0xA0761D6478BD642F)
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[ord("A") : ord("Z") + 1] = _LOWER[ord("a") : ord("z") + 1]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -41,11 +41,13 @@ def _word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
         return np.empty(0, np.uint64), counts
     number = np.cumsum(first) - 1
     own = number[inside]
-    values = _BYTE[data[inside]]
     sizes = np.bincount(own, minlength=len(at))
     offsets = np.cumsum(sizes) - sizes
-    place = np.arange(len(own)) - offsets[own]
-    hashes = np.add.reduceat(values * _powers(int(sizes.max()))[place], offsets)
+    place = (np.arange(len(own)) - offsets[own]).astype(np.uint64)
+    # A random number for every place and byte: sums over the bytes have no structure to exploit,
+    # as the values of a polynomial modulo 2^64 do.
+    values = mixed((place << np.uint64(8) | _LOWER[data[inside]]) * _STEP ^ _KEY)
+    hashes = np.add.reduceat(values, offsets)
     return mixed(hashes ^ (sizes.astype(np.uint64) * _STEP)), counts
 
 

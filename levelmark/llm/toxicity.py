@@ -21,7 +21,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from levelmark.llm.common import give_back, id_remainder, schema_with
+from levelmark.llm.common import give_back, id_remainder, schema_with, slices
 from levelmark.llm.quality import one_label
 from levelmark.sources.shared import written
 
@@ -177,8 +177,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays(columns, ["kind", "entry", "toxic", "clean"])
 
-    for batch in batches:
-        for text, label in zip(batch.column("_text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+    for rows, texts in slices(batches, "_text"):
+        for text, label in zip(texts, rows.column("label").to_pylist(), strict=True):
             words = plain_words(text)
             seen["word", label].update(words)
             seen["start", label].update({w[:BEGINNING] for w in words if len(w) > BEGINNING})
@@ -209,12 +209,11 @@ def _with_features(docs: DataFrame, lexicons: dict[int | None, Lexicon], by_labe
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        for batch in batches:
-            texts = batch.column(text).to_pylist()
-            labels = batch.column("label").to_pylist() if by_label else [None] * len(texts)
-            x = pa.array([known[y].features(t or "") for t, y in zip(texts, labels, strict=True)], pa.list_(pa.float64()))
-            kept = [n for n in batch.schema.names if keep or n != text]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), x], [*kept, "x"])
+        for rows, texts in slices(batches, text):
+            labels = rows.column("label").to_pylist() if by_label else [None] * len(texts)
+            x = pa.array([known[y].features(t) for t, y in zip(texts, labels, strict=True)], pa.list_(pa.float64()))
+            kept = [n for n in rows.schema.names if keep or n != text]
+            yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in kept), x], [*kept, "x"])
         for lexicon in known.values():  # the worker goes on to other tasks
             lexicon.codes.clear()
         give_back()

@@ -13,7 +13,6 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 from operator import itemgetter
 
@@ -24,7 +23,7 @@ from tokenizers import Regex
 from tokenizers.normalizers import NFC, Lowercase, Sequence
 from tokenizers.pre_tokenizers import Split
 
-from levelmark.llm.common import give_back, schema_with
+from levelmark.llm.common import give_back, schema_with, slices
 
 #: Words kept with their encodings in a task before it starts anew.
 MAX_WORDS = 200_000
@@ -197,28 +196,6 @@ class TrieBpe:
         return len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (numbers, self.decode(ids)))
 
 
-@lru_cache(maxsize=2)
-def _coder(vocabulary: str) -> TrieBpe:
-    """One per worker."""
-    return TrieBpe(vocabulary)
-
-
-#: Characters of the texts that are split at a time.
-SLICE_CHARS = 1_000_000
-
-
-def _slices(texts: list[str]) -> Iterator[list[str]]:
-    part, size = [], 0
-    for text in texts:
-        part.append(text)
-        size += len(text)
-        if size >= SLICE_CHARS:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 def _read(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
@@ -231,14 +208,12 @@ def _coded(docs: DataFrame, path: str, keep: list[str], made: str, columns) -> D
     vocabulary = docs.sparkSession.sparkContext.broadcast(_read(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(vocabulary.value)
-        for batch in batches:
-            texts = batch.column("_text").to_pylist()
-            rows = [columns(coder, ids) for part in _slices(texts) for ids in coder.encode(part)]
-            made_columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else []
-            made_columns = made_columns or [pa.array([], t) for t in types]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made_columns], [*keep, *names])
-        coder.words.clear()  # the worker goes on to other tasks
+        coder = TrieBpe(vocabulary.value)
+        for rows, texts in slices(batches, "_text"):
+            made_rows = [columns(coder, ids) for ids in coder.encode(texts)]
+            made_columns = [pa.array(list(c), t) for c, t in zip(zip(*made_rows, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), *made_columns], [*keep, *names])
+        del coder  # its tables are of 50 MB and the worker goes on to other tasks
         give_back()
 
     kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
@@ -257,10 +232,12 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     vocabulary = encoded.sparkSession.sparkContext.broadcast(_read(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(vocabulary.value)
+        coder = TrieBpe(vocabulary.value)
         for batch in batches:
             texts = [None if ids is None else coder.decode(ids) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+        del coder
+        give_back()
 
     schema = schema_with(encoded.select("doc_id"), "text string")
     return encoded.select("doc_id", "ids").mapInArrow(run, schema)
