@@ -1,8 +1,9 @@
 """Alignment of two tokenizers' tokens over the same bytes, and how often their
 tokens meet in a corpus.
 
-Texts are cut into lanes at blanks between two words, where both tokenizers start
-a new token. The lanes of a batch are merged in lockstep: one state holds every
+Where a blank is between two words, both tokenizers start a new token, so texts are
+cut there and every distinct word is encoded once. Some hundred words are a lane.
+The lanes of a batch are merged in lockstep: one state holds every
 lane's place among its A tokens and its B tokens, and a step moves all of them on,
 each past the token that ends first, or past both where they end together, which
 cuts a group. Finished lanes leave the state.
@@ -34,8 +35,12 @@ from levelmark.llm.common import give_back, schema_with, slices
 from levelmark.llm.trie_bpe import _byte_alphabet
 from levelmark.sources.shared import written
 
-#: Characters of a lane, about; of the lanes merged at a time; of a chunk.
-LANE_CHARS, SLICE_CHARS, CHUNK_CHARS = 600, 2_000_000, 16_000_000
+#: Words of a lane; characters of the texts merged at a time, and of a chunk, about.
+LANE_WORDS, SLICE_CHARS, CHUNK_CHARS = 100, 2_000_000, 16_000_000
+#: Words whose tokens are taken over at a time, and those of them that are encoded as one text.
+TOGETHER, JOINED = 16_384, 64
+#: Words kept with their tokens, and their characters, before a worker starts anew.
+MAX_WORDS, MAX_CHARS = 300_000, 8_000_000
 #: Links of a group from which on its pairs of ids are counted instead of listed.
 LARGE_GROUP = 4096
 
@@ -46,6 +51,9 @@ BLANK = "▁"
 BEYOND_LATIN = re.compile("[^\x00-ſ]")
 #: A blank that neither tokenizer joins to what is before it.
 SEAM = re.compile(f"(?<=[^\\s{BLANK}]) (?=[^\\s{BLANK}])")
+EDGES = "".join(c for c in map(chr, range(0x3100)) if c.isspace()) + BLANK
+#: Any other blank.
+NO_SEAM = re.compile(f"^ | [\\s{BLANK}]|[\\s{BLANK}] | \\Z")
 
 
 class ByteLevel:
@@ -71,7 +79,8 @@ class ByteLevel:
         if self.fast is None:
             return [e.ids for e in self.library.encode_batch(texts, add_special_tokens=False)]
         return [
-            self.library.encode(t, add_special_tokens=False).ids if BEYOND_LATIN.search(t) else self.fast.encode_ordinary(t) for t in texts
+            self.library.encode(t, add_special_tokens=False).ids if BEYOND_LATIN.search(t) else self.fast.encode_ordinary(t)
+            for t in texts
         ]
 
 
@@ -110,16 +119,59 @@ class Coders:
             self.digits[i, : len(text)] = np.frombuffer(text, np.uint8)
             self.n_digits[i] = len(text)
 
-    def lanes(self, text: str) -> list[str]:
-        """The text in parts, without the blank between two parts."""
-        out, start = [], 0
-        while self.b.seams and len(text) - start > LANE_CHARS:
-            seam = SEAM.search(text, start + LANE_CHARS)
-            if seam is None:
-                break
-            out.append(text[start : seam.start()])
-            start = seam.end()
-        return [*out, text[start:]]
+        self.forget()
+
+    def forget(self) -> None:
+        self.words: dict[str, int] = {}
+        self.chars = 0
+        self.spelled = np.empty(0, bool)
+        self.tokens = [np.empty(0, np.int64) for _ in range(2)]
+        self.starts = [np.zeros(1, np.int64) for _ in range(2)]
+
+    def parts(self, text: str) -> list[str]:
+        """The words of a text, cut at every seam; none of an empty one."""
+        if not text or not self.b.seams:
+            return [text] if text else []
+        return SEAM.split(text) if NO_SEAM.search(text) else text.split(" ")
+
+    def learn(self, words: set[str]) -> None:
+        """Encodes words and notes whether the tokens of either kind spell a blank and the word."""
+        size = sum(map(len, words))
+        if len(self.words) + len(words) > MAX_WORDS or self.chars + size > MAX_CHARS:
+            self.forget()
+        new = list(words - self.words.keys())
+        self.chars += size
+        odd = [w for w in new if not w or w.strip(EDGES) != w]
+        plain = list(set(new).difference(odd)) if odd else new
+        self.words.update(zip(chain(plain, odd), range(len(self.words), len(self.words) + len(new)), strict=True))
+        for i in range(0, len(plain), TOGETHER):
+            self._add(plain[i : i + TOGETHER])
+        for w in odd:
+            self._add([w])
+
+    def _add(self, words: list[str]) -> None:
+        """Encodes words joined to texts: between them are seams. Word by word where
+        the tokens do not spell them."""
+        data = [f" {w}".encode() for w in words]
+        ends = _starts(np.fromiter(map(len, data), np.int64, len(data)))
+        texts, whole = [" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)], b"".join(data)
+        found = []
+        for coder, lengths, given in ((self.a, self.lengths[0], [" " + t for t in texts]), (self.b, self.lengths[1], texts)):
+            ids = list(chain.from_iterable(coder.encode(given)))
+            spelled = b"".join(map(coder.names.__getitem__, ids)) == whole
+            ids = np.array(ids, np.int64)
+            reached = _starts(lengths[ids])
+            at = np.searchsorted(reached, ends) if spelled else np.array([0, len(ids)])
+            found.append((spelled and np.array_equal(reached[at], ends), ids, at))
+        spelled = all(f[0] for f in found)
+        if not spelled and len(words) > 1:
+            for w in words:
+                self._add([w])
+            return
+        self.spelled = np.concatenate([self.spelled, np.full(len(words), spelled)])
+        for k, (_, ids, at) in enumerate(found):
+            self.starts[k] = np.concatenate([self.starts[k], at[1:] + self.starts[k][-1]])
+            self.tokens[k] = np.concatenate([self.tokens[k], ids])
 
 
 def lockstep(ends_a: np.ndarray, ends_b: np.ndarray, from_a: np.ndarray, from_b: np.ndarray, to_a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,45 +265,32 @@ class Aligned:
 def align(coders: Coders, texts: list[str]) -> Aligned:
     """Texts that are empty, or whose tokens of either kind do not spell a blank
     and the text, have no tokens."""
-    parts = [coders.lanes(t) if t else [] for t in texts]
-    found = _encoded(coders, parts)
-    if not _spelled(coders, parts, found):
-        for k, part in enumerate(parts):
-            if part and not _spelled(coders, [part], _encoded(coders, [part])):
-                parts[k] = []
-        found = _encoded(coders, parts)
-    (ids_a, per_a), (ids_b, per_b) = found
-    lanes_a, lanes_b = _starts(per_a), _starts(per_b)
-    ends = []
-    for ids, lanes, per, lengths in ((ids_a, lanes_a, per_a, coders.lengths[0]), (ids_b, lanes_b, per_b, coders.lengths[1])):
-        total = np.cumsum(lengths[ids])
-        ends.append(total - np.repeat(np.concatenate([[0], total])[lanes[:-1]], per))
-    cut_a, cut_b = lockstep(*ends, lanes_a[:-1], lanes_b[:-1], lanes_a[1:])
+    parts = [coders.parts(t) for t in texts]
+    coders.learn(set(chain.from_iterable(parts)))
+    counts = np.fromiter(map(len, parts), np.int64, len(parts))
+    words = np.fromiter(map(coders.words.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
+    del parts
+    unspelled = np.diff(_starts(~coders.spelled[words])[_starts(counts)]) > 0
+    words, counts = words[~np.repeat(unspelled, counts)], np.where(unspelled, 0, counts)
+
+    texts_of = _starts(counts)
+    per_text = -(-counts // LANE_WORDS)
+    place = np.arange(per_text.sum()) - np.repeat(_starts(per_text)[:-1], per_text)
+    lanes_of = np.append(np.repeat(texts_of[:-1], per_text) + place * LANE_WORDS, len(words))
+    ids, lanes, texts_at, ends = [], [], [], []
+    for tokens, starts, lengths in zip(coders.tokens, coders.starts, coders.lengths, strict=True):
+        n = starts[words + 1] - starts[words]
+        before = _starts(n)
+        found = tokens[np.arange(before[-1]) + np.repeat(starts[words] - before[:-1], n)]
+        total = _starts(lengths[found])
+        lane = before[lanes_of]
+        ids.append(found)
+        lanes.append(lane)
+        texts_at.append(before[texts_of])
+        ends.append(total[1:] - np.repeat(total[lane[:-1]], np.diff(lane)))
+    cut_a, cut_b = lockstep(*ends, lanes[0][:-1], lanes[1][:-1], lanes[0][1:])
     groups_a, groups_b = (np.concatenate([[0], np.flatnonzero(cut) + 1]) for cut in (cut_a, cut_b))
-    lanes_of = _starts(np.array([len(p) for p in parts], np.int64))
-    texts_a = lanes_a[lanes_of]
-    return Aligned(ids_a, ids_b, groups_a, groups_b, texts_a, lanes_b[lanes_of], np.searchsorted(groups_a, texts_a))
-
-
-def _encoded(coders: Coders, parts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For A and for B: ids of all lanes, and how many each lane has."""
-    lanes = list(chain.from_iterable(parts))
-    out = []
-    for found in (coders.a.encode([" " + x for x in lanes]), coders.b.encode(lanes) if lanes else []):
-        per = np.fromiter(map(len, found), np.int64, len(found))
-        out.append((np.fromiter(chain.from_iterable(found), np.int64, int(per.sum())), per))
-    return out
-
-
-def _spelled(coders: Coders, parts: list[list[str]], found: list[tuple[np.ndarray, np.ndarray]]) -> bool:
-    """Whether the tokens of every lane spell a blank and the lane."""
-    lanes = [f" {x}".encode() for x in chain.from_iterable(parts)]
-    whole, sizes = b"".join(lanes), np.fromiter(map(len, lanes), np.int64, len(lanes))
-    for (ids, per), lengths, names in zip(found, coders.lengths, (coders.a.names, coders.b.names), strict=True):
-        spelled = np.diff(np.concatenate([[0], np.cumsum(lengths[ids])])[_starts(per)])
-        if not np.array_equal(spelled, sizes) or b"".join(map(names.__getitem__, ids.tolist())) != whole:
-            return False
-    return True
+    return Aligned(*ids, groups_a, groups_b, *texts_at, np.searchsorted(groups_a, texts_at[0]))
 
 
 # On tables

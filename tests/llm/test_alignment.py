@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -104,7 +105,7 @@ def test_lanes_and_groups_of_single_texts(libraries, coders):
             b = aligned.ids_b[aligned.groups_b[g] : aligned.groups_b[g + 1]].tolist()
             found.append((a, b))
         assert found == expected, text[:80]
-    assert max(len(coders.lanes(t)) for t in texts) > 2
+    assert max(len(coders.parts(t)) for t in texts) > 2 * alignment.LANE_WORDS
 
 
 def test_latin_texts_encode_as_the_file_does(libraries, coders):
@@ -116,15 +117,24 @@ def test_latin_texts_encode_as_the_file_does(libraries, coders):
     assert coders.a.encode(texts) == [libraries[0].encode(t, add_special_tokens=False).ids for t in texts]
 
 
-def test_seams_change_nothing(libraries, coders, monkeypatch):
+def test_words_learnt_anew(coders, monkeypatch):
+    texts = ["one two three", "two three four five", "six  two\n x", "▁ bad one", "one"]
+    whole = alignment.align(coders, texts)
+    monkeypatch.setattr(alignment, "MAX_WORDS", 3)
+    monkeypatch.setattr(alignment, "LANE_WORDS", 2)
+    again = [alignment.align(coders, [t]) for t in texts]
+    assert whole.ids_a.tolist() == sum((x.ids_a.tolist() for x in again), [])
+    assert np.diff(whole.texts_g).tolist() == [len(x.groups_a) - 1 for x in again]
+
+
+def test_seams_change_nothing(libraries, coders):
     """Cutting at every seam gives the tokens of the whole text."""
-    monkeypatch.setattr(alignment, "LANE_CHARS", 1)
     draw = random.Random(10)
     pieces = ["a", "b", "the", "é", "1", "'s", ".", "\n", " ", "  ", "▁", "\t", "日", "-", "\xa0", "\x1f", " "]
     for _ in range(1500):
         text = "".join(draw.choice(pieces) + draw.choice(["", " "]) for _ in range(draw.randint(1, 14)))
-        lanes = coders.lanes(text)
-        assert " ".join(lanes) == text
+        lanes = coders.parts(text)
+        assert " ".join(lanes) == text and lanes == alignment.SEAM.split(text)
         for library, coder, blank in ((libraries[0], coders.a, " "), (libraries[1], coders.b, "")):
             whole = library.encode(" " + text, add_special_tokens=False).ids if blank else library.encode(text)
             assert sum(coder.encode([blank + x for x in lanes]), []) == whole, (text, lanes)
