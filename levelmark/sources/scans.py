@@ -1,11 +1,12 @@
 """Reading frameworks, listings, results and file listings."""
 
-from urllib.parse import unquote
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from levelmark.schemas import FRAMEWORK_COLUMNS, LISTING_COLUMNS, listing_schema, shorten
+from levelmark.sources.csv_records import csv_records, csv_rows
+from levelmark.sources.folder_files import folder_files
+from levelmark.sources.versions import read_current
 
 # Framework files start with the prefix, listings do not (path globs).
 FRAMEWORK_GLOB = "SFW*.parquet"
@@ -42,45 +43,22 @@ def read_role(spark: SparkSession, root: str, role: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """CSV with header; cells may hold line breaks, quotes and edge spaces."""
-    return (
-        spark.read.schema(schema or listing_schema())
-        .option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
+    """CSV with header; cells may hold line breaks, quotes and edge spaces. A
+    file of any size is read by as many tasks as it has splits."""
+    schema = schema or listing_schema()
+    return csv_rows(csv_records(spark, path), schema).select("cells.*")
 
 
 def read_results(spark: SparkSession, root: str, bucket: str | None = None) -> DataFrame:
-    """Stored results; a bucket reads only its own folder (partition pruning)."""
-    df = spark.read.parquet(root)
+    """Current results of all sectors; a bucket reads only its own folders (partition pruning)."""
+    df = read_current(spark, root, "sector")
     return df.where(F.col("bucket") == bucket) if bucket else df
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
-    """Files as rows; the contents are never read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", recursive)
-        .load(folder)
-        .select("path", "length", "modificationTime")
-    )
-
-
-def with_empty_files(files: DataFrame) -> DataFrame:
-    """Adds the files of length 0, which the scan itself leaves out. Paths only,
-    as the scan's own file index holds them."""
-    paths = [(unquote(path),) for path in files.inputFiles()]
-    every = files.sparkSession.createDataFrame(paths, "path string")
-    # inputFiles() and the scan may write the scheme with one or three slashes.
-    plain = F.regexp_replace("path", "^file:/+", "/")
-    known = files.withColumn("_p", plain).drop("path")
-    joined = every.withColumn("_p", plain).join(known, "_p", "left").drop("_p")
-    return joined.withColumn("length", F.coalesce("length", F.lit(0)))
+    """Files as rows, empty ones too: path, length, modificationTime. The
+    contents are never read."""
+    return folder_files(spark, folder, pattern, recursive)
 
 
 def latest_file(files: DataFrame, by_time: bool = False) -> DataFrame:

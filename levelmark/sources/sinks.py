@@ -1,11 +1,17 @@
 """Writing inputs, results, CSV exports and conversions."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from levelmark.reference_values import RESULT_TITLES
+from levelmark.sources import versions
+from levelmark.sources.csv_records import csv_records, csv_rows
 
+#: Tables of an upload, each by run stamp.
+STAMP_COLUMN = "run_ts"
+INPUT_TABLES = ["role=framework", "role=listing", "report", "rejected"]
 STAMP_FORMAT = "yyyyMMdd_HHmm"  # fixed value
 BAD_RECORD = "_bad_record"
 
@@ -25,6 +31,20 @@ def write_inputs(framework: DataFrame, listing: DataFrame, root: str, stamp: str
         write_parquet(df, f"{root}/role={role}/run_ts={stamp}")
 
 
+def clear_inputs(spark: SparkSession, root: str) -> None:
+    """Empties what an upload has stored under `root`, all its run stamps; schemas stay."""
+    for kind in INPUT_TABLES:
+        try:
+            stored = spark.read.parquet(f"{root}/{kind}")
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            continue
+        columns = [f for f in stored.schema.fields if f.name != STAMP_COLUMN]
+        for row in stored.select(STAMP_COLUMN).distinct().collect():  # one row per upload
+            write_parquet(spark.createDataFrame([], T.StructType(columns)), f"{root}/{kind}/{STAMP_COLUMN}={row[0]}")
+
+
 def write_buckets(df: DataFrame, path: str) -> None:
     """One pass over a frame holding all buckets. The whole table is replaced,
     so that a bucket that has become empty keeps no rows of an earlier run."""
@@ -32,8 +52,9 @@ def write_buckets(df: DataFrame, path: str) -> None:
 
 
 def write_results(df: DataFrame, root: str, alias: str) -> None:
-    """Buckets of one sector; the other sectors stay untouched."""
-    write_buckets(df, f"{root}/sector={alias}")
+    """Buckets of one sector, all at once: readers find the former results or
+    these. The other sectors stay untouched."""
+    versions.publish(df, root, alias)
 
 
 def write_csv(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
@@ -61,18 +82,7 @@ def convert_csv(spark: SparkSession, source: str, schema: T.StructType, target:
     """CSV files, a folder or a glob to one Parquet table. Every row keeps its
     file; malformed lines are kept with their text instead of ending the job."""
     kept = T.StructType([*schema.fields, T.StructField(BAD_RECORD, T.StringType())])
-    rows = (
-        spark.read.schema(kept)
-        .option("header", True)
-        .option("escape", '"')
-        .option("multiLine", True)
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", BAD_RECORD)
-        .csv(source)
-        .select("*", F.col("_metadata.file_path").alias("src_file"))
-    )
+    rows = csv_rows(csv_records(spark, source), kept, BAD_RECORD).select("cells.*", "src_file")
     write_parquet(rows, target)
     return spark.read.parquet(target)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from levelmark.operators import quality
 from levelmark.reference_values import SECTORS
 from levelmark.schemas import FRAMEWORK_COLUMNS, LISTING_COLUMNS
-from levelmark.sources.scans import list_files, with_empty_files
+from levelmark.sources.scans import list_files
 from levelmark.sources.shared import scratch_path
 from levelmark.workload import rows
 from levelmark.workload import tables as t
@@ -21,7 +21,7 @@ def dq_empty_file(spark: SparkSession, folder: str) -> DataFrame:
     titles = t.framework(spark, folder)
     for name, sector in (("chosen", t.SECTOR), ("other", "no such sector")):
         titles.where(F.col("sector") == sector).select("title").write.text(f"{root}/sector={name}")
-    files = quality.empty_files(with_empty_files(list_files(spark, root, "*.txt")))
+    files = quality.empty_files(list_files(spark, root, "*.txt"))
     return files.select(F.regexp_extract("path", r"/(sector=\w+)/", 1).alias("folder"), "rule")
 
 

@@ -281,11 +281,29 @@ def name_results(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy(sinks.result_name(F.col("bucket"), "B1").alias("result_name")).agg(F.count("*").alias("n_rows"))
 
 
-@query("""SELECT count(*) AS n_rows, CAST(11 AS INTEGER) AS n_columns,
+@query("""SELECT 4::BIGINT AS n_files, true AS filled, 4::BIGINT AS n_row_groups, count(*) AS n_rows, CAST(11 AS INTEGER) AS n_columns,
   'l_orderkey,l_partkey,l_suppkey,l_linenumber,l_quantity,l_extendedprice,l_discount,l_tax,l_returnflag,l_linestatus,l_shipdate' AS column_names
 FROM lineitem""")
 def profile_parquet(spark: SparkSession, folder: str) -> DataFrame:
-    return profiles.parquet_profile(spark, f"{folder}/lineitem.parquet")
+    """A table stored in four files; SQL cannot know its bytes, only that there are some."""
+    path = scratch_path(spark, "lines")
+    t.table(spark, folder, "lineitem").repartition(4).write.parquet(path)
+    profile = profiles.parquet_profile(spark, path)
+    return profile.withColumn("filled", F.col("bytes") > F.col("n_rows")).drop("bytes")
+
+
+@query("""SELECT 'l_orderkey' AS column_name, count(*) AS n_rows, 0::BIGINT AS n_nulls, 'zstd' AS codecs,
+       CAST(min(l_orderkey) AS VARCHAR) AS low, CAST(max(l_orderkey) AS VARCHAR) AS high FROM lineitem
+UNION ALL SELECT 'l_returnflag', count(*), count(*) FILTER (WHERE l_returnflag = 'A'), 'zstd',
+       min(nullif(l_returnflag, 'A')), max(nullif(l_returnflag, 'A')) FROM lineitem
+UNION ALL SELECT 'l_shipdate', count(*), 0, 'zstd', CAST(CAST(min(l_shipdate) AS DATE) AS VARCHAR), CAST(CAST(max(l_shipdate) AS DATE) AS VARCHAR) FROM lineitem""")
+def profile_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """What the footers of a table say about its columns."""
+    flag = F.col("l_returnflag")
+    rows = t.table(spark, folder, "lineitem").select("l_orderkey", F.when(flag != "A", flag).alias("l_returnflag"), F.to_date("l_shipdate").alias("l_shipdate"))
+    path = scratch_path(spark, "lines")
+    sinks.write_parquet(rows, path, compression="zstd")
+    return profiles.column_profile(spark, path).drop("bytes")
 
 
 FRAMEWORK_KINDS = {

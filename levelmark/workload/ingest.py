@@ -3,8 +3,9 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from levelmark.plans.ingest import Upload, ingest, input_report, verdict
-from levelmark.schemas import LISTING_COLUMNS
+from levelmark.plans.ingest import Upload, ingest, ingest_folder, input_report, verdict
+from levelmark.schemas import LISTING_COLUMNS, publish
+from levelmark.sources import sinks
 from levelmark.sources.scans import read_role
 from levelmark.sources.shared import scratch_path
 from levelmark.workload import checks, files, rows, runs
@@ -106,3 +107,43 @@ def ingest_listing(spark: SparkSession, folder: str) -> DataFrame:
         raise ValueError("the upload does not pass")
     stored = read_role(spark, root, "listing")
     return stored.select("course_ref", "l_linenumber", "skill_title", "course_title", "about", "learn")
+
+
+@query("SELECT DISTINCT strftime(o_orderdate, '%Y%m%d_%H%M') AS stamp FROM orders")
+def ingest_stamp(spark: SparkSession, folder: str) -> DataFrame:
+    """The stamps of uploads that came on the days of the orders."""
+    orders = t.table(spark, folder, "orders")
+    return orders.select(sinks.run_stamp(F.col("o_orderdate")).alias("stamp")).distinct()
+
+
+FOLDER_SQL = f"""
+WITH {t.FRAMEWORK_SQL}, {runs.LIST_CELLS_SQL},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY course_ref, skill_title ORDER BY {t.ORDER_SQL}) AS rn FROM li WHERE about IS NOT NULL),
+clean AS (SELECT * FROM ranked WHERE rn = 1),
+skills AS (
+  SELECT course_ref, skill_key AS skill_title FROM clean WHERE l_linenumber % 4 IN (0, 1)
+  UNION ALL SELECT course_ref, 'extra ' || skill_key FROM clean WHERE l_linenumber % 4 = 0
+  UNION ALL SELECT course_ref, skill_title FROM clean WHERE l_linenumber % 4 = 3)
+"""
+
+
+@query(f"""{FOLDER_SQL}
+SELECT 'listing' AS role, count(*) AS n_rows, count(DISTINCT course_ref) AS n_keys, count(DISTINCT skill_title) AS n_values FROM skills
+UNION ALL SELECT 'framework', count(*), count(DISTINCT title), count(DISTINCT level) FROM fw""", name="ingest_folder")
+def folder_upload(spark: SparkSession, folder: str) -> DataFrame:
+    """A folder with a framework and a listing as CSV files, whose cells hold quotes
+    and line breaks, checked, cleaned and stored."""
+    source, root = scratch_path(spark, "uploads"), scratch_path(spark, "upload")
+    listing = runs.list_cells(spark, folder).withColumn("learn", F.regexp_replace("learn", "^Line ", 'Line\n"'))
+    listing = listing.withColumn("course_ref", F.col("course_ref").cast("string")).select(*LISTING_COLUMNS.values())
+    sinks.write_csv(files.published_framework(spark, folder), f"{source}/SFW_Human Resource.csv")
+    sinks.write_csv(publish(listing, LISTING_COLUMNS), f"{source}/HR_Human Resource_sector_course_listing.csv")
+    passed, _ = ingest_folder(spark, source, "HR", root, STAMP, required=["about"])
+    if not passed:
+        raise ValueError("the upload does not pass")
+
+    def counted(role: str, key: str, value: str) -> DataFrame:
+        n = F.count("*").alias("n_rows"), F.count_distinct(key).alias("n_keys"), F.count_distinct(value).alias("n_values")
+        return read_role(spark, root, role).agg(F.lit(role).alias("role"), *n)
+
+    return counted("listing", "course_ref", "skill_title").unionByName(counted("framework", "title", "level"))

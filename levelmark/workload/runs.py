@@ -9,7 +9,6 @@ from levelmark.operators.taxonomy import level_pairs
 from levelmark.plans.rounds import bucket_round1, bucket_round2, prepare_work, round2_work, tag_round1, tag_round2
 from levelmark.plans.runs import RunSettings, RunStore, run_two_rounds
 from levelmark.sources.shared import scratch_path, written
-from levelmark.sources.sinks import write_parquet
 from levelmark.workload import scoring as sc
 from levelmark.workload import tables as t
 from levelmark.workload.registry import query
@@ -194,13 +193,13 @@ def early_run(spark: SparkSession, folder: str) -> RunStore:
     """A run stopped in round one: some rows answered, some calls failed."""
     work = prepare_work(t.listing(spark, folder), t.topics(spark, folder), t.ORDER, ["about"]).where("relevance = 'In Sector'")
     store = RunStore(spark, scratch_path(spark, "run"))
-    write_parquet(work, store.path("work"))
-    work = spark.read.parquet(store.path("work"))
+    work = store.keep_work(work, "work", wanted=3)
     answered = work.where("answer1 > 0").select(
         "work_id", F.lit("{}").alias("answer"), F.when(F.col("answer1") == 1, "stopped").alias("error")
     )
     store.append_answers(answered, "r1")
-    store.save_state("r1", work, "B1")
+    totals, done = store.counted("r1", work)
+    store.save_state("r1", sum(totals.values()), sum(done.values()), "B1")
     return store
 
 

@@ -1,15 +1,21 @@
 """Stored runs: invariants, resume, streaming, sources and sinks."""
 
 import json
+import os
+import pathlib
 import random
+import shutil
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from levelmark.plans import runs
 from levelmark.plans.runs import RunSettings, RunStore, run_two_rounds
 from levelmark.schemas import FILE_ORDER, FRAMEWORK_COLUMNS, LISTING_COLUMNS, framework_schema, listing_schema, shorten
 from levelmark.sources import profiles, scans, sinks
 from levelmark.sources.shared import shared_dir, written
+from levelmark.streaming import microbatch
 from levelmark.streaming.microbatch import read_batches, stream_listing
 
 FRAMEWORK = [
@@ -157,23 +163,108 @@ def test_a_run_without_relevant_rows_completes(spark, inputs, calls, tmp_path):
     assert run_two_rounds(spark, framework, listing, f"{tmp_path}/run", settings(calls)).count() == 0
 
 
+def jobs_so_far(spark):
+    return max(spark.sparkContext._jsc.sc().statusTracker().getJobIdsForGroup(None), default=-1)
+
+
+def test_chunks_cost_the_same_however_many(spark, tmp_path, monkeypatch):
+    """Each chunk takes as many jobs, and reads its own part of the work and of the answers."""
+    rows = [(f"c{i}", "Excel" if i % 3 else "SQL", f"T{i}", "a", "b", "f", i) for i in range(200)]
+    listing = spark.createDataFrame(rows, ["course_ref", "skill_title", "course_title", "about", "learn", "src_file", "src_row"])
+    framework = shorten(spark.createDataFrame(FRAMEWORK, framework_schema()), FRAMEWORK_COLUMNS).withColumns({"src_file": F.lit("f"), "src_row": F.lit(1)})
+    answer = lambda system, prompt: '{"proficiency_level": 1, "proficiency": 2}'
+    steps = {}
+    for chunks in (2, 20):
+        jobs, reads = [], []
+
+        def noted(work, answers, before=runs.pending):
+            jobs.append(jobs_so_far(spark))
+            files = [len(df.inputFiles()) for df in (work, answers)]
+            reads.append((work.count(), answers.count(), files[1]))
+            return before(work, answers)
+
+        root = f"{tmp_path}/run{chunks}"
+        made = RunSettings(["Human Resource"], "HR", lambda: answer, lambda: answer, FILE_ORDER, partitions=2, chunks=chunks)
+        for again in (False, True):
+            if again:
+                monkeypatch.setattr(runs, "pending", noted)
+            run_two_rounds(spark, framework, listing, root, made)
+            monkeypatch.undo()
+        assert len(jobs) == 2 * chunks
+        # what the chunks read adds up to the work and the answers once, in each round
+        assert [sum(r[i] for r in reads[:chunks]) for i in (0, 1)] == [200, 200]
+        assert [sum(r[i] for r in reads[chunks:]) for i in (0, 1)] == [67, 67]
+        states = sorted(spark.read.parquet(f"{root}/state").collect(), key=lambda s: s["saved_at"])
+        assert len(states) == 4 * chunks and states[-1]["n_done"] == states[-1]["n_total"] == 67
+        gaps = {b - a for a, b in zip(jobs[: chunks - 1], jobs[1:chunks])}
+        steps[chunks] = max(gaps)
+        first = [s["n_done"] for s in states if s["round"] == "r1"][:chunks]
+        assert first == sorted(first) and first[-1] == 200 and (chunks == 2 or first[0] < 200)
+    assert steps[2] == steps[20]
+
+
+def stream(spark, source, framework, root, settings_):
+    return stream_listing(spark, source, listing_schema(), framework, root, settings_, prepare=lambda df: shorten(df, LISTING_COLUMNS))
+
+
+def arrive(spark, source, rows):
+    spark.createDataFrame(rows, listing_schema()).coalesce(1).write.mode("append").parquet(source)
+
+
 def test_micro_batches(spark, inputs, calls, tmp_path):
     source, root = f"{tmp_path}/arriving", f"{tmp_path}/stream"
     framework = scans.read_framework(spark, inputs)
-
-    def arrive(rows):
-        spark.createDataFrame(rows, listing_schema()).coalesce(1).write.mode("append").parquet(source)
-        query = stream_listing(
-            spark, source, listing_schema(), framework, root, settings(calls), prepare=lambda df: shorten(df, LISTING_COLUMNS)
-        )
-        assert query.awaitTermination(120)
-
-    arrive(LISTING[:4])
     # c1 with its skills comes again and is not tagged twice.
-    arrive(LISTING[2:])
+    for rows in (LISTING[:4], LISTING[2:], LISTING[:3]):
+        arrive(spark, source, rows)
+        assert stream(spark, source, framework, root, settings(calls)).awaitTermination(120)
     results = read_batches(spark, root, "results")
     assert outcome(results) == EXPECTED
     assert sorted(r["batch"] for r in results.select("batch").distinct().collect()) == [0, 1]
+    assert len(calls.seen()) == 8  # five in round one, three contents in round two
+    # what passed the state is stored once, however often it came
+    arrived = read_batches(spark, root, "arrivals").groupBy("kind").count().collect()
+    assert {r["kind"]: r["count"] for r in arrived} == {"work": 7, "course": 6}
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").count("RocksDB") == 0
+
+
+def test_three_batches_equal_one_run(spark, inputs, calls, tmp_path):
+    """Rows in random order with repeats and other texts: the first row of a course
+    describes it in every batch, the first of a course and skill is tagged."""
+    draw = random.Random(2)
+    rows = [(f"c{draw.randint(1, 9)}", draw.choice(["Excel", " excel", "SQL", "Cooking", None]), draw.choice(["T1", "T3", "T6"]),
+             draw.choice(["a", "b", None]), "l") for _ in range(60)] + [(None, "Excel", "T1", "a", "l")] * 2
+    framework = scans.read_framework(spark, inputs)
+    source, root = f"{tmp_path}/arriving", f"{tmp_path}/stream"
+    for n, part in enumerate((rows[:20], rows[20:25], rows[25:])):
+        # names in order of arrival: one run reads the files in this order
+        spark.createDataFrame(part, listing_schema()).coalesce(1).write.parquet(f"{tmp_path}/made{n}")
+        os.makedirs(source, exist_ok=True)
+        (made,) = pathlib.Path(f"{tmp_path}/made{n}").glob("part-*.parquet")
+        shutil.copy(made, f"{source}/f{n}.parquet")
+        assert stream(spark, source, framework, root, settings(calls)).awaitTermination(120)
+    whole = shorten(scans.with_file_order(spark.read.parquet(source)), LISTING_COLUMNS)
+    once = run_two_rounds(spark, framework, whole, f"{tmp_path}/once", settings(calls))
+    assert outcome(read_batches(spark, root, "results")) == outcome(once)
+
+
+def test_a_stopped_batch_scores_nothing_twice(spark, inputs, calls, tmp_path, monkeypatch):
+    source, root = f"{tmp_path}/arriving", f"{tmp_path}/stream"
+    framework = scans.read_framework(spark, inputs)
+    arrive(spark, source, LISTING[:4])
+    assert stream(spark, source, framework, root, settings(calls)).awaitTermination(120)
+
+    def stopped(*_):
+        raise OSError("stopped")
+
+    arrive(spark, source, LISTING[2:])
+    with monkeypatch.context() as patch:
+        patch.setattr(microbatch, "write_buckets", stopped)
+        with pytest.raises(StreamingQueryException):
+            stream(spark, source, framework, root, settings(calls)).awaitTermination(120)
+    before = calls.seen()
+    assert stream(spark, source, framework, root, settings(calls)).awaitTermination(120)
+    assert calls.seen() == before and outcome(read_batches(spark, root, "results")) == EXPECTED
 
 
 def test_sources_and_sinks(spark, inputs, tmp_path):
@@ -208,26 +299,26 @@ def test_sources_and_sinks(spark, inputs, tmp_path):
     assert scans.read_parquet(spark, f"{tmp_path}/empty", ["Skill Title"]).count() == 0
     assert written(df, "copy").count() == 3
     assert shared_dir(spark)
-    bytes_ = profiles.parquet_bytes(spark, f"{tmp_path}/stored").first()
-    assert bytes_["n_files"] >= 4 and bytes_["bytes"] > 0
+    profile = profiles.parquet_profile(spark, f"{tmp_path}/stored").first()
+    assert profile["n_files"] >= 4 and profile["bytes"] > 0 and profile["n_rows"] == 12
 
 
 def test_file_listings(spark, tmp_path):
     for name, text in [("b_20250102.csv", "x"), ("a_20250103.csv", "yy"), ("c.parquet", ""), ("d e.csv", "")]:
         (tmp_path / name).write_text(text)
     files = scans.list_files(spark, str(tmp_path))
-    every = scans.with_empty_files(files)
-    assert {r["path"].rsplit("/", 1)[1]: r["length"] for r in every.collect()} == {
+    assert {r["path"].rsplit("/", 1)[1]: r["length"] for r in files.collect()} == {
         "b_20250102.csv": 1,
         "a_20250103.csv": 2,
         "c.parquet": 0,
         "d e.csv": 0,
     }
-    counts = {r["suffix"]: (r["n_files"], r["n_convertible"]) for r in profiles.extension_counts(every).collect()}
+    counts = {r["suffix"]: (r["n_files"], r["n_convertible"]) for r in profiles.extension_counts(files).collect()}
     assert counts == {"csv": (3, 3), "parquet": (1, 0)}
-    assert scans.latest_file(files).first()["path"].endswith("b_20250102.csv")
+    assert scans.latest_file(files).first()["path"].endswith("d e.csv")
+    assert scans.latest_file(files.where("length > 0")).first()["path"].endswith("b_20250102.csv")
     assert scans.latest_file(files, by_time=True).count() == 1
-    assert scans.size_check(files, max_mb=0).where("size_ok").count() == 0
+    assert scans.size_check(files, max_mb=0).where("size_ok").count() == 2
 
 
 def test_conversion_keeps_malformed_lines(spark, tmp_path):
