@@ -79,9 +79,10 @@ class Pairs(dict):
 
 
 class TrieBpe:
-    """Encoder and decoder for a word-end BPE vocabulary (the JSON text of its file)."""
+    """Encoder and decoder for a word-end BPE vocabulary (the JSON text of its file).
+    `own` are the ids of the tokens that encode their own text, where known."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, own: frozenset[int] | None = None):
         spec = json.loads(vocabulary)
         self.ids: dict[str, int] = spec["model"]["vocab"]
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -102,7 +103,9 @@ class TrieBpe:
         self.words: dict[str, tuple[int, ...]] = {}
         self.apart = Pairs(self.rank, self.made, self.parts)
         # Only a token that is the encoding of its own text can be part of one.
-        own = {s: i for s, i in self.ids.items() if self._merged(s) == [i]}
+        if own is None:
+            own = frozenset(i for s, i in self.ids.items() if self._merged(s) == [i])
+        self.own, own = own, {s: i for s, i in self.ids.items() if i in own}
         self.inner = {s: i for s, i in own.items() if not s.endswith(WORD_END)}
         self.endings = {s[: -len(WORD_END)]: i for s, i in own.items() if s.endswith(WORD_END)}
         self.sizes = {i: len(s.removesuffix(WORD_END)) for s, i in own.items()}
@@ -201,14 +204,20 @@ def _read(path: str) -> str:
         return f.read()
 
 
+def _known(path: str) -> tuple[str, frozenset[int]]:
+    """The file, and what takes long to find out of it: once, not in every task."""
+    text = _read(path)
+    return text, TrieBpe(text).own
+
+
 def _coded(docs: DataFrame, path: str, keep: list[str], made: str, columns) -> DataFrame:
     """`keep` columns of the documents and those that `columns` makes of a coder
     and the texts. The file is read once, by the driver, and sent out whole (its
     size is fixed by the vocabulary, under 2 MB)."""
-    vocabulary = docs.sparkSession.sparkContext.broadcast(_read(path))
+    vocabulary = docs.sparkSession.sparkContext.broadcast(_known(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = TrieBpe(vocabulary.value)
+        coder = TrieBpe(*vocabulary.value)
         for rows, texts in slices(batches, "_text"):
             made_rows = [columns(coder, ids) for ids in coder.encode(texts)]
             made_columns = [pa.array(list(c), t) for c, t in zip(zip(*made_rows, strict=True), types, strict=True)]
@@ -229,10 +238,10 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and `text`, decoded from `ids`; null ids stay null."""
-    vocabulary = encoded.sparkSession.sparkContext.broadcast(_read(path))
+    vocabulary = encoded.sparkSession.sparkContext.broadcast(_known(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = TrieBpe(vocabulary.value)
+        coder = TrieBpe(*vocabulary.value)
         for batch in batches:
             texts = [None if ids is None else coder.decode(ids) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
