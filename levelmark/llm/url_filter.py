@@ -62,6 +62,10 @@ class DigestArray:
         self.verdicts = np.memmap(path, "u1", "r", at + 16 * n + 8 + size, (n,)) if n else empty
         # Path lengths a rule has: only such prefixes of a URL's path are probed.
         self.path_bytes = sorted({len(self.key(i).partition(SEAM)[2]) for i in range(n)})
+        # Labels and bytes of a rule's host, at most: no longer parent domain is probed.
+        hosts = [self.key(i).partition(SEAM)[0] for i in range(n)]
+        self.labels = max((h.count(b".") + 1 for h in hosts), default=0)
+        self.host_bytes = max(map(len, hosts), default=0)
 
     def key(self, i: int) -> bytes:
         return self.text[int(self.ends[i]) : int(self.ends[i + 1])].tobytes()
@@ -83,14 +87,18 @@ def _mapped(name: str) -> DigestArray:
     return DigestArray(SparkFiles.get(name))
 
 
-def _candidates(host: str, path: str, lengths: list[int]) -> Iterator[bytes]:
-    """Every (host or parent domain, path prefix) a rule could consist of."""
-    whole = path.encode()
-    while host:
-        for n in lengths:
-            if n <= len(whole):
-                yield host.encode() + SEAM + whole[:n]
-        host = host.partition(".")[2]
+def _candidates(host: str, path: str, index: DigestArray) -> Iterator[bytes]:
+    """Every (host or parent domain, path prefix) a rule could consist of: for hosts
+    and paths of any length, as many as the rules have labels and path lengths."""
+    labels = host.rsplit(".", index.labels) if index.labels else []
+    start = len(labels) > index.labels  # then the first part holds the labels beyond
+    whole = path[: index.path_bytes[-1]].encode() if labels else b""
+    for first in range(start, len(labels)):
+        if sum(map(len, labels[first:])) + len(labels) - 1 - first <= index.host_bytes:
+            parent = ".".join(labels[first:]).encode()
+            for n in index.path_bytes if parent else ():
+                if n <= len(whole):
+                    yield parent + SEAM + whole[:n]
 
 
 def _publish(spark: SparkSession, content: bytes) -> str:
@@ -134,7 +142,7 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str]], default: str = "al
         for batch in batches:
             keys, owner = [], []
             for row, (host, path) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("host", "path")), strict=True)):
-                found = list(_candidates(host, path, index.path_bytes))
+                found = list(_candidates(host, path, index))
                 keys += found
                 owner += [row] * len(found)
             best: dict[int, tuple] = {}
