@@ -7,11 +7,9 @@ A run spans a small range of every dimension, so that min/max statistics of its
 files prune on any of them.
 """
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,37 +49,37 @@ def hilbert_index(axes: list[np.ndarray], bits: int) -> np.ndarray:
     return index.astype(np.int64)
 
 
-def _place(df: DataFrame, column: str) -> Column:
-    """A number that orders the values as they are ordered; null comes first.
+def _placed(rows: DataFrame, column: str, place: str) -> DataFrame:
+    """Adds a number that orders the values as they are ordered; null comes first.
 
-    Texts take the 6 bytes after the stretch that all of them share.
-    """
-    kind = df.schema[column].dataType
+    A text's place is how many rows hold a smaller one, whatever its length."""
+    kind = rows.schema[column].dataType
     if not isinstance(kind, T.StringType):
-        return F.coalesce(F.col(column).cast("double"), F.lit(float("-inf")))
-    ends = df.agg(F.min(column).alias("low"), F.max(column).alias("high")).first()
-    low, high = ((ends[x] or "").encode() for x in ("low", "high"))
-    shared = next((i for i, (a, b) in enumerate(zip(low, high, strict=False)) if a != b), min(len(low), len(high)))
-    key = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), shared + 1, 6)), 12, "0")
-    return F.coalesce(F.conv(key, 16, 10).cast("double"), F.lit(-1.0))
+        return rows.withColumn(place, F.coalesce(F.col(column).cast("double"), F.lit(float("-inf"))))
+    values = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_value")).agg(F.count("*").alias("_rows"))
+    ranked = running_totals(values, ["_value"], _before="_rows").select(F.col("_value").alias(column), F.col("_before").cast("double").alias(place))
+    joined = lookup_join(rows, ranked, [column], "left", [c for c in rows.columns if c != column])
+    return joined.withColumn(place, F.coalesce(place, F.lit(-1.0))).select(*rows.columns, place)
 
 
 def curve(rows: DataFrame, dims: list[str], bits: int = BITS) -> DataFrame:
     """`rows` with `hilbert`, the curve number of the columns `dims`.
 
     The cell borders of a dimension are 2^bits - 1 approximate quantiles of it
-    over all rows: few values or uneven ones spread as their counts do.
+    over the rows given: few values or uneven ones spread as their counts do.
     """
-    places = rows.select("*", *(_place(rows, d).alias(f"_place{i}") for i, d in enumerate(dims)))
+    places = rows
+    for i, d in enumerate(dims):
+        places = _placed(places, d, f"_place{i}")
+    places = written(places, "places")
     parts = [i / (1 << bits) for i in range(1, 1 << bits)]
     cuts = places.agg(*(F.percentile_approx(f"_place{i}", parts, 4096).alias(f"c{i}") for i in range(len(dims)))).first()
     borders = [np.array(c if c is not None else [], dtype=np.float64) for c in cuts]
 
     @F.pandas_udf("long")
-    def number(columns: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for batch in columns:
-            cells = [np.searchsorted(b, c.to_numpy(), side="left") for b, c in zip(borders, batch, strict=True)]
-            yield pd.Series(hilbert_index(cells, bits))
+    def number(*columns: pd.Series) -> pd.Series:
+        cells = [np.searchsorted(b, c.to_numpy(), side="left") for b, c in zip(borders, columns, strict=True)]
+        return pd.Series(hilbert_index(cells, bits))
 
     return places.select(*rows.columns, number(*(f"_place{i}" for i in range(len(dims)))).alias("hilbert"))
 
@@ -151,10 +149,16 @@ def shard_layout(docs: DataFrame, shards: int = SHARDS, law: str = "bytes", dims
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, law: str = "bytes", rows_per_file: int = 1_000_000) -> None:
     """Writes the documents as Parquet, a folder per shard, rows along the curve.
+    The shard is column `_shard`, with more underscores where that is taken.
 
     Repeats of one row (id and text) go where the first of them goes."""
+    shard = "_shard"
+    while shard in docs.columns:
+        shard = f"_{shard}"
+    named = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # clear of the columns added on the way
+    keyed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in named.items()), *row_keys())
     layout = shard_layout(docs, shards, law).groupBy(*ROW_KEYS).agg(F.min(F.struct("shard", "slot")).alias("_at"))
-    placed = lookup_join(docs.select("*", *row_keys()), written(layout, "layout"), ROW_KEYS, "inner", ROW_KEYS)
-    ordered = placed.select(*docs.columns, F.col("_at.shard").alias("_shard"), F.col("_at.slot").alias("_slot"))
-    ordered = ordered.repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot").drop("_slot")
-    ordered.write.option("maxRecordsPerFile", rows_per_file).partitionBy("_shard").parquet(path)
+    placed = lookup_join(keyed, written(layout, "layout"), ROW_KEYS, "inner", ROW_KEYS)
+    ordered = placed.repartitionByRange("_at.shard", "_at.slot").sortWithinPartitions("_at.shard", "_at.slot")
+    ordered = ordered.select(*(F.col(n).alias(c) for c, n in named.items()), F.col("_at.shard").alias(shard))
+    ordered.write.option("maxRecordsPerFile", rows_per_file).partitionBy(shard).parquet(path)
