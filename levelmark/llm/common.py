@@ -70,6 +70,24 @@ def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return kept.select(*(F.col(n).alias(c) for c, n in named.items()))
 
 
+#: Numbers that one row is exploded to at a time.
+RANGE = 10_000
+
+
+def exploded(df: DataFrame, first: Column, last: Column, name: str, block: int = RANGE) -> DataFrame:
+    """A row for each whole number from `first` to `last` (none where that is
+    smaller), as column `name`. Long ranges are cut, and their parts spread over
+    tasks, before single numbers are made."""
+    long_ = F.coalesce(last - first >= block, F.lit(False))
+    few = df.where(~long_ & (first <= last)).withColumn(name, F.explode(F.sequence(first, last)))
+    parts = df.where(long_).withColumn("_part", F.explode(F.sequence(first, last, F.lit(block).cast("long"))))
+    # A stated number: the parts are small until they are numbers, and would be put together again.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts.repartition(tasks, F.xxhash64(*df.columns, "_part"))
+    many = parts.withColumn(name, F.explode(F.sequence(F.col("_part"), F.least(last, F.col("_part") + (block - 1))))).drop("_part")
+    return few.unionByName(many)
+
+
 def give_back() -> None:
     """Returns a worker's free memory to the system, after a task that held
     large tables of Python objects: workers are kept for later tasks."""

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from levelmark.llm.common import ROW_KEYS, row_keys, running_totals, text_or_empty
+from levelmark.llm.common import ROW_KEYS, exploded, row_keys, running_totals, text_or_empty
 from levelmark.operators.joins import lookup_join
 from levelmark.sources.shared import written
 
@@ -110,7 +110,7 @@ def plan_mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, levels: in
     shuffled = running_totals(shuffled, [*SOURCE, "_order", *ROW_KEYS], _before="_words")
     facts = sources.select(*SOURCE, "words", "words_before", "target", "round", "ends")
     placed = lookup_join(shuffled, facts, SOURCE, "inner", ROW_KEYS)
-    placed = placed.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    placed = exploded(placed, F.lit(1).cast("long"), F.col("copies"), "copy")
     # A document is taken when its middle lies before the target; blocks go by the middle too.
     middle = F.col("_before") - F.col("words_before") + (F.col("copy") - 0.5) * F.col("size")
     placed = placed.withColumn("_middle", middle).withColumn("_block", F.floor(middle / block_words))
@@ -146,8 +146,8 @@ def _numbered(rows: DataFrame) -> DataFrame:
     first = variants.groupBy(*ROW_KEYS).agg(F.min("_before").alias("_first"))
     variants = lookup_join(variants, first, ROW_KEYS, "inner", [*ROW_KEYS, "_variant"])
     before = F.col("_before") - F.col("_first")
-    copies = F.explode(F.sequence(before + 1, before + F.col("_n"))).alias("copy")
-    return variants.select("_row", copies).select("_row.*", "copy")
+    variants = variants.select("_row", (before + 1).alias("_one"), (before + F.col("_n")).alias("_last"))
+    return exploded(variants, F.col("_one"), F.col("_last"), "copy").select("_row.*", "copy")
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, levels: int = LEVELS, seed: int = SEED) -> DataFrame:
@@ -155,7 +155,9 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, levels: int = L
     shards and shuffled inside them (rows lie in that order)."""
     plan = plan_mixture(docs, weights, levels, seed).where(F.size("draws") > 0)
     plan = written(plan.select(*ROW_KEYS, "copy", "copies", "draws"), "draws")
-    keyed, single = docs.select("*", *row_keys("source")), plan.where("copies = 1").select(*ROW_KEYS, "draws")
+    named = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # clear of the columns added on the way
+    keyed = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in named.items()), *row_keys("source"))
+    single = plan.where("copies = 1").select(*ROW_KEYS, "draws")
     drawn = lookup_join(keyed, single, ROW_KEYS, "inner", ROW_KEYS)
     repeated = plan.where("copies > 1").select(*ROW_KEYS, "copy", "draws")
     if not repeated.isEmpty():
@@ -163,6 +165,6 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, levels: int = L
         copies = _numbered(lookup_join(keyed, keys, ROW_KEYS, "left_semi", ROW_KEYS))
         on = [*ROW_KEYS, "copy"]
         drawn = drawn.unionByName(lookup_join(copies, repeated, on, "inner", on).drop("copy"))
-    drawn = drawn.select(*docs.columns, F.explode("draws").alias("_draw"))
+    drawn = drawn.select(*named.values(), F.explode("draws").alias("_draw"))
     order = ["_draw.shard", "_draw.place"]
-    return drawn.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
+    return drawn.repartitionByRange(*order).sortWithinPartitions(*order).select(*(F.col(n).alias(c) for c, n in named.items()))

@@ -7,9 +7,10 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from levelmark.llm import hilbert, mixing, rp_forest, url_filter
-from levelmark.llm.common import running_totals
+from levelmark.llm import block_naming, hilbert, mixing, rp_forest, signature_join, url_filter
+from levelmark.llm.common import exploded, running_totals
 from levelmark.llm.queries import URL_RULES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, target double"
@@ -225,3 +226,67 @@ def test_search_recall_in_a_forest(spark):
         found[r["query_id"]].add(r["vec_id"])
     assert set(found) == set(truth)
     assert sum(len(found[q] & set(t)) for q, t in truth.items()) >= 0.9 * sum(map(len, truth.values()))
+
+
+def test_long_hosts_are_probed_by_the_rules_labels(spark):
+    long_hosts = ["a." * 500_000 + "org", "x" * 1_000_000 + ".org", "." * 300_000 + "example.org", "y" * 1_000_000]
+    urls = [f"https://{h}/es/{'p' * 100_000}" for h in long_hosts]
+    pages = spark.createDataFrame([(i, u, 1, "r") for i, u in enumerate(urls)], "page_id long, url string, _url int, rule string")
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge(pages, URL_RULES, "none").collect()}
+    assert found == {0: ("org/", "allow"), 1: ("org/", "allow"), 2: ("example.org/es/", "block"), 3: (None, "none")}
+    index = url_filter._candidates
+    made = list(index(long_hosts[0], "/es/p", url_filter._mapped(url_filter._publish(spark, url_filter.build_index(URL_RULES, 64)))))
+    assert len(made) < 20 and max(map(len, made)) < 40
+
+
+def test_long_ranges_are_cut(spark):
+    df = spark.createDataFrame([(1, 5), (3, 3), (4, 3), (0, 2_000_000), (10, 47)], "a long, b long")
+    rows = exploded(df, F.col("a"), F.col("b"), "i", block=1000)
+    counts = {(r["a"], r["b"]): (r["n"], r["low"], r["high"], r["d"]) for r in rows.groupBy("a", "b").agg(
+        F.count("*").alias("n"), F.min("i").alias("low"), F.max("i").alias("high"), F.count_distinct("i").alias("d")).collect()}
+    assert counts == {(a, b): (b - a + 1, a, b, b - a + 1) for a, b in [(1, 5), (3, 3), (0, 2_000_000), (10, 47)]}
+    sizes = rows.where("a = 0").groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 1 and max(r["count"] for r in sizes) < 1_500_000
+
+
+def test_a_row_of_very_many_repeats_is_drawn_in_many_tasks(spark):
+    many = spark.range(200_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("same words").alias("text"), F.lit("a").alias("source"))
+    plan = mixing.plan_mixture(many)
+    assert plan.count() == 200_000 and plan.select("copy").distinct().count() == 200_000
+    taken = plan.select(F.sum(F.col("size") * F.size("draws")).alias("n"), F.first("target").alias("target")).first()
+    assert abs(taken["n"] - taken["target"]) <= 4
+
+
+TWENTY = [f"https://shared.example.org/a/very/long/stretch/{x}" for x in "abcdefghijklmnopqrst"]
+
+
+def test_texts_that_share_a_stretch_are_told_apart(spark):
+    rows = [(i, f"text {i}", TWENTY[i % 20] if i % 21 else None) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    source = {r["doc_id"]: r["source"] or "" for r in docs.collect()}
+    for dims in (("source",), ("size",), ("source", "size")):
+        layout = hilbert.shard_layout(docs, dims=dims).collect()
+        assert len(layout) == 2000 and len({r["shard"] for r in layout}) == 8
+        per_shard = defaultdict(set)
+        for r in layout:
+            per_shard[r["shard"]].add(source[r["doc_id"]])
+        if dims == ("source",):  # runs of neighbouring sources: 21 of them over 8 shards
+            assert max(map(len, per_shard.values())) <= 4
+            ends = [(min(per_shard[s]), max(per_shard[s])) for s in range(8)]
+            assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:], strict=False))
+
+
+def test_clashing_columns(spark, tmp_path):
+    names = ["_row_key1", "_row_key2", "_draw", "_shard", "_c0", "_at", "copy", "draws", "spare"]
+    rows = [(i, f"text of {i % 30}", "s", *([i] * len(names))) for i in range(60)] + [(None, None, None, *([7] * len(names)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} long" for n in names))
+    given = {r["doc_id"]: tuple(r) for r in docs.collect()}
+    mixed = mixing.mixture(docs)
+    assert mixed.columns == docs.columns and all(given[r["doc_id"]] == tuple(r) for r in mixed.collect())
+    kept = block_naming.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, *range(30, 60)]
+    near = signature_join.keep_one_of_each(docs)
+    assert near.columns == docs.columns and near.count() == 31
+    hilbert.write_shards(docs.withColumn("lang", F.lit("en")), f"{tmp_path}/out")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.count() == 61 and set(out.columns) == {*docs.columns, "lang", "__shard"}
