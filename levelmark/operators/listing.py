@@ -51,20 +51,20 @@ def extract_list_skills(
     keep_plain: bool = False,
     hot: DataFrame | None = None,
     hot_rows: int | None = None,
+    join=None,
 ) -> DataFrame:
     """One row per skill of every list cell, with the course's first
-    description; plain rows only on request."""
+    description; plain rows only on request. `join` takes the place of the
+    salted join where the listing is stored by course."""
     position = order_only(order)
     # Cells without a list and empty lists give no rows.
     skills = listing.select("course_ref", *position, F.explode(parse_list_cell(F.col("skill_title"))).alias("skill_title"))
-    with_meta = salted_join(
-        skills,
-        course_descriptions(listing, order),
-        ["course_ref"],
-        "left",
-        salt_by=[*position, "skill_title"],
-        hot=hot_keys(listing, ["course_ref"], hot_rows) if hot is None else hot,
-    )
+    described, salt_by = course_descriptions(listing, order), [*position, "skill_title"]
+    if join is None:
+        hot = hot_keys(listing, ["course_ref"], hot_rows) if hot is None else hot
+        with_meta = salted_join(skills, described, ["course_ref"], "left", salt_by, hot=hot)
+    else:
+        with_meta = join(skills, described, ["course_ref"], "left", salt_by)
     columns = ["course_ref", "skill_title", *DESCRIPTION_COLUMNS, *position]
     exploded = with_meta.select(*columns)
     if not keep_plain:
@@ -98,13 +98,18 @@ def attach_descriptions(
     salt_by: list[str],
     hot: DataFrame | None = None,
     hot_rows: int | None = None,
+    join=None,
 ) -> DataFrame:
     """Left join on the course; the joined description wins, the row's own one
-    fills gaps, and either side may lack a column."""
+    fills gaps, and either side may lack a column. `join` takes the place of the
+    salted join where the rows are stored by course."""
     fresh = descriptions.select(
         "course_ref", *[F.col(c).alias(f"_{c}") for c in DESCRIPTION_COLUMNS if c in descriptions.columns]
     )
-    joined = salted_join(rows, fresh, ["course_ref"], "left", salt_by, hot=hot, hot_rows=hot_rows)
+    if join is None:
+        joined = salted_join(rows, fresh, ["course_ref"], "left", salt_by, hot=hot, hot_rows=hot_rows)
+    else:
+        joined = join(rows, fresh, ["course_ref"], "left", salt_by)
     for c in DESCRIPTION_COLUMNS:
         sides = [s for s in (f"_{c}", c) if s in joined.columns]
         if sides:

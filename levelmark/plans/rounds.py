@@ -57,9 +57,9 @@ def bucket_round1(rows: DataFrame, framework: DataFrame, unanswered: Column, **b
     return checked.withColumn("bucket", bucket).drop("_ok")
 
 
-def round2_work(failed: DataFrame, descriptions: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+def round2_work(failed: DataFrame, descriptions: DataFrame, hot: DataFrame | None = None, join=None) -> DataFrame:
     """Failed rows with the course's first description, text and content id."""
-    described = attach_descriptions(failed, descriptions, salt_by=["work_id"], hot=hot)
+    described = attach_descriptions(failed, descriptions, salt_by=["work_id"], hot=hot, join=join)
     text = course_text(*[F.col(c) for c in DESCRIPTION_COLUMNS])
     return described.withColumn("course_text", text).withColumn(
         "unique_id", content_id(F.col("course_text"), F.col("skill_title"))

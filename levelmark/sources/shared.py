@@ -9,14 +9,36 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the session names for checkpoints; where none is set, a
-    folder below the session's table store."""
+    """The folder the session names for checkpoints; where none is set, a folder
+    below the session's table store, which on a cluster must not be a local one."""
     path = spark.conf.get(CHECKPOINT_SETTING, None) or spark.sparkContext.getCheckpointDir()
-    return path.rstrip("/") if path else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
+    if path:
+        return path.rstrip("/")
+    store = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if store.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder that the driver and all executors share: {store} is local to each")
+    return f"{store}/shared"
+
+
+def own_dir(spark: SparkSession) -> str:
+    """What this application writes on the way lies here."""
+    return f"{shared_dir(spark)}/levelmark/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/levelmark/{uuid.uuid4().hex}/{name}"
+    return f"{own_dir(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Removes a folder in any store that Spark reaches."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def released(spark: SparkSession) -> bool:
+    """Removes all that the application has written on the way; to be called when
+    nothing of it is read any more."""
+    return remove(spark, own_dir(spark))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

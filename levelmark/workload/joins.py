@@ -10,7 +10,7 @@ from levelmark.operators.joins import lookup_join, salted_join
 from levelmark.operators.listing import attach_descriptions, course_descriptions, mixed_formats
 from levelmark.operators.routing import check_level, irrelevant_rows, join_answers, level_violations, relevant_rows
 from levelmark.operators.taxonomy import level_pairs
-from levelmark.plans.runs import pending
+from levelmark.plans.runs import pending, pending_filtered
 from levelmark.sources.shared import written
 from levelmark.workload import runs
 from levelmark.workload import scoring as sc
@@ -20,8 +20,8 @@ from levelmark.workload.registry import query
 PAGE = 1_000
 
 
-def work_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return relevant_rows(t.clean(spark, folder), t.topics(spark, folder), salt_by=["course_ref", "skill_title"])
+def work_rows(spark: SparkSession, folder: str, rows: DataFrame | None = None) -> DataFrame:
+    return relevant_rows(t.clean(spark, folder, rows=rows), t.topics(spark, folder), salt_by=["course_ref", "skill_title"])
 
 
 @query(f"WITH {t.routed_sql()} SELECT course_ref, skill_title, skill_key FROM work")
@@ -41,7 +41,8 @@ SELECT w.course_ref, w.skill_title, a.level FROM work w JOIN ans a USING (course
 def join_inner_answers(spark: SparkSession, folder: str) -> DataFrame:
     """Plain join semantics: titles that share a key multiply. The dedupe by
     raw title bounds a (course, key) group by its title variants."""
-    work = work_rows(spark, folder)
+    # Cleaned once: both sides come from the stored rows.
+    work = written(work_rows(spark, folder).select("course_ref", "skill_key", "skill_title", "answer1"), "work")
     answers = work.select("course_ref", "skill_key", F.col("answer1").alias("level"))
     joined = work.join(answers, ["course_ref", "skill_key"])
     return joined.select("course_ref", "skill_title", "level")
@@ -51,11 +52,13 @@ def join_inner_answers(spark: SparkSession, folder: str) -> DataFrame:
 SELECT w.course_ref, w.skill_title, d.about AS first_about, d.learn AS first_learn
 FROM work w LEFT JOIN descr d ON w.course_ref = d.course_ref""")
 def join_left_descr(spark: SparkSession, folder: str) -> DataFrame:
-    descr = course_descriptions(t.listing(spark, folder), t.ORDER)
-    firsts = descr.select("course_ref", F.col("about").alias("first_about"), F.col("learn").alias("first_learn"))
-    hot = t.hot_courses(spark, folder)
-    joined = salted_join(work_rows(spark, folder), firsts, ["course_ref"], "left", ["skill_title"], hot=hot)
-    return joined.select("course_ref", "skill_title", "first_about", "first_learn")
+    def described(part: DataFrame, join) -> DataFrame:
+        descr = course_descriptions(part, t.ORDER)
+        firsts = descr.select("course_ref", F.col("about").alias("first_about"), F.col("learn").alias("first_learn"))
+        joined = join(work_rows(spark, folder, part), firsts, ["course_ref"], "left", ["skill_title"])
+        return joined.select("course_ref", "skill_title", "first_about", "first_learn")
+
+    return t.stored_listing(spark, folder).apply(described)
 
 
 @query(f"""WITH {t.FRAMEWORK_SQL}, {t.LISTING_SQL}
@@ -139,12 +142,13 @@ def join_outer_violations(spark: SparkSession, folder: str) -> DataFrame:
 SELECT li.course_ref, li.skill_title, d.course_title, d.about, d.learn
 FROM li LEFT JOIN descr d ON li.course_ref = d.course_ref""")
 def join_left_meta(spark: SparkSession, folder: str) -> DataFrame:
-    rows = runs.list_cells(spark, folder)
-    bare = rows.select("course_ref", "skill_title", *t.ORDER)
-    joined = attach_descriptions(
-        bare, course_descriptions(rows, t.ORDER), salt_by=t.ORDER, hot=t.hot_courses(spark, folder)
-    )
-    return joined.select("course_ref", "skill_title", "course_title", "about", "learn")
+    def described(part: DataFrame, join) -> DataFrame:
+        rows = runs.cells_of(part)
+        bare = rows.select("course_ref", "skill_title", *t.ORDER)
+        joined = attach_descriptions(bare, course_descriptions(rows, t.ORDER), salt_by=t.ORDER, join=join)
+        return joined.select("course_ref", "skill_title", "course_title", "about", "learn")
+
+    return t.stored_listing(spark, folder).apply(described)
 
 
 @query(f"""WITH {t.routed_sql("skill_key")}
@@ -158,6 +162,19 @@ def join_anti_pending(spark: SparkSession, folder: str) -> DataFrame:
     return pending(work, answers).select("course_ref", "skill_key")
 
 
+@query(f"""WITH {t.routed_sql("skill_key")}
+SELECT course_ref, skill_key FROM work WHERE NOT (l_linenumber = 1 AND answer1 > 2)""")
+def join_pending_filtered(spark: SparkSession, folder: str) -> DataFrame:
+    """Work without a good answer where few rows have one: most skip the join."""
+    work = relevant_rows(t.clean(spark, folder, "skill_key"), t.topics(spark, folder), salt_by=["course_ref"])
+    identity = F.concat_ws("/", F.col("course_ref").cast("string"), "skill_key").alias("work_id")
+    # Read three times: the filter, and the two sides of it.
+    work = written(work.select(identity, "course_ref", "skill_key", "answer1", "l_linenumber"), "work")
+    failed = F.when(F.col("answer1") <= 2, "stopped")
+    answers = work.where("l_linenumber = 1 AND answer1 > 0").select("work_id", failed.alias("error"))
+    return pending_filtered(work, answers).select("course_ref", "skill_key")
+
+
 @query(f"""WITH {t.FRAMEWORK_SQL}
 SELECT skill_key, string_agg(CAST(level AS VARCHAR), ',' ORDER BY level) AS levels FROM pairs GROUP BY skill_key""")
 def agg_level_set(spark: SparkSession, folder: str) -> DataFrame:

@@ -77,10 +77,12 @@ def rename_columns(spark: SparkSession, folder: str) -> DataFrame:
 SELECT w.course_ref, w.skill_title, coalesce(d.about, w.about) AS about, coalesce(d.learn, w.learn) AS learn
 FROM work w LEFT JOIN descr d ON w.course_ref = d.course_ref""")
 def coalesce_descr(spark: SparkSession, folder: str) -> DataFrame:
-    work = t.routed(spark, folder).where("relevance = 'In Sector'")
-    descr = course_descriptions(t.listing(spark, folder), t.ORDER)
-    joined = attach_descriptions(work, descr, salt_by=["skill_title"], hot=t.hot_courses(spark, folder))
-    return joined.select("course_ref", "skill_title", "about", "learn")
+    def described(part: DataFrame, join) -> DataFrame:
+        work = t.routed(spark, folder, rows=part).where("relevance = 'In Sector'")
+        joined = attach_descriptions(work, course_descriptions(part, t.ORDER), salt_by=["skill_title"], join=join)
+        return joined.select("course_ref", "skill_title", "about", "learn")
+
+    return t.stored_listing(spark, folder).apply(described)
 
 
 @query(f"""WITH {t.LISTING_SQL},

@@ -89,11 +89,13 @@ final AS (
 def round2(spark: SparkSession, folder: str) -> DataFrame:
     topics = t.topics(spark, folder)
     fits = fits_broadcast(level_pairs(topics))
-    listing = t.listing(spark, folder)
-    work = prepare_work(listing, topics, t.ORDER, ["about"], fits=fits).where("relevance = 'In Sector'")
-    r1 = bucket_round1(work.withColumn("level", F.col("answer1")), topics, F.lit(False), fits=fits)
-    failed = r1.where("bucket = 'r1_invalid'")
-    ids = round2_work(failed, course_descriptions(listing, t.ORDER), hot=t.hot_courses(spark, folder))
+
+    def contents(part: DataFrame, join) -> DataFrame:
+        work = prepare_work(part, topics, t.ORDER, ["about"], fits=fits).where("relevance = 'In Sector'")
+        r1 = bucket_round1(work.withColumn("level", F.col("answer1")), topics, F.lit(False), fits=fits)
+        return round2_work(r1.where("bucket = 'r1_invalid'"), course_descriptions(part, t.ORDER), join=join)
+
+    ids = t.stored_listing(spark, folder).apply(contents)
     # Read three times below: answers, hot ids, rows.
     columns = ["work_id", "course_ref", "skill_key", "unique_id", "level", "answer2", "bucket"]
     ids = written(ids.select(*columns), "contents")
@@ -112,6 +114,10 @@ def preprocess_listing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def list_cells(spark: SparkSession, folder: str) -> DataFrame:
+    return cells_of(t.listing(spark, folder))
+
+
+def cells_of(rows: DataFrame) -> DataFrame:
     """Listing whose titles are partly list cells: two skills in single or
     double quotes, an empty list, or a plain name."""
     name = F.trim(F.lower("skill_title"))
@@ -122,7 +128,7 @@ def list_cells(spark: SparkSession, folder: str) -> DataFrame:
         .when(kind == 2, F.lit("[]"))
         .otherwise(name)
     )
-    return t.listing(spark, folder).withColumn("skill_title", cell)
+    return rows.withColumn("skill_title", cell)
 
 
 LIST_CELLS_SQL = t.LISTING_SQL.replace(
@@ -141,8 +147,11 @@ skills AS (
 SELECT s.course_ref, s.l_linenumber, s.skill_title, d.course_title, d.about, d.learn
 FROM skills s LEFT JOIN descr d ON s.course_ref = d.course_ref""", name="extract_list_skills")
 def list_skills(spark: SparkSession, folder: str) -> DataFrame:
-    rows = extract_list_skills(list_cells(spark, folder), t.ORDER, hot=t.hot_courses(spark, folder))
-    return rows.select("course_ref", "l_linenumber", "skill_title", "course_title", "about", "learn")
+    def skills(part: DataFrame, join) -> DataFrame:
+        rows = extract_list_skills(cells_of(part), t.ORDER, join=join)
+        return rows.select("course_ref", "l_linenumber", "skill_title", "course_title", "about", "learn")
+
+    return t.stored_listing(spark, folder).apply(skills)
 
 
 RESUME_SQL = f"""

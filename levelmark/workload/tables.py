@@ -9,10 +9,11 @@ texts, and arithmetic on prices and quantities the fixed answers.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from levelmark.operators.joins import hot_keys, salted_join
+from levelmark.operators.joins import hot_keys, salted_join, setting
 from levelmark.operators.listing import dedupe_then_drop, with_skill_key
 from levelmark.operators.routing import flag_relevance
 from levelmark.operators.taxonomy import sector_framework
+from levelmark.sources.by_course import ByCourse, store_by_course, stored
 
 SECTOR = "Brand#1"
 # Total order of the rows of one course.
@@ -84,8 +85,10 @@ def clean(spark: SparkSession, folder: str, title: str = "skill_title", rows: Da
     return dedupe_then_drop(with_skill_key(rows), ["about"], ORDER, title)
 
 
-def routed(spark: SparkSession, folder: str, title: str = "skill_title", fits: bool | None = None) -> DataFrame:
-    return flag_relevance(clean(spark, folder, title), topics(spark, folder), salt_by=["course_ref", title], fits=fits)
+def routed(
+    spark: SparkSession, folder: str, title: str = "skill_title", fits: bool | None = None, rows: DataFrame | None = None
+) -> DataFrame:
+    return flag_relevance(clean(spark, folder, title, rows), topics(spark, folder), salt_by=["course_ref", title], fits=fits)
 
 
 def hot_courses(spark: SparkSession, folder: str) -> DataFrame:
@@ -93,6 +96,24 @@ def hot_courses(spark: SparkSession, folder: str) -> DataFrame:
     return hot_keys(table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("course_ref")), ["course_ref"])
 
 
+def stored_listing(spark: SparkSession, folder: str) -> ByCourse:
+    """The listing by course, stored by the first query of a session that needs it;
+    anew when the files of its tables have changed or other courses count as hot."""
+    facts = ["_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time"]
+    files = table(spark, folder, "lineitem").select(*facts).unionByName(table(spark, folder, "part").select(*facts)).distinct()
+    marks = files.agg(F.sort_array(F.collect_list(F.concat_ws("|", *(F.col(c).cast("string") for c in files.columns)))).alias("m"))
+    limits = [setting(spark, n) for n in ("hotRows", "broadcastRows", "broadcastBytes")]
+    # Named by the application too: another one's files may be gone.
+    app = "".join(c for c in spark.sparkContext.applicationId if c.isalnum())
+    name = f"levelmark_listing_{app}_{marks.select(F.sha2(F.concat_ws(',', F.array_join('m', ','), F.lit(str(limits))), 256)).first()[0][:24]}"
+    found = stored(spark, name)
+    if found is None:
+        courses = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("course_ref"))
+        store_by_course(listing(spark, folder), name, courses)
+        found = stored(spark, name)
+    return found
+
+
 # SQL fragments (each starts a WITH clause).
 FRAMEWORK_SQL = f"""
 fw AS (

@@ -3,12 +3,13 @@
 import csv
 import os
 import random
+import types
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from levelmark.sources import csv_records, folder_files, profiles, scans, sinks, versions
+from levelmark.sources import csv_records, folder_files, profiles, scans, shared, sinks, versions
 
 SPLIT = "spark.sql.files.maxPartitionBytes"
 COST = "spark.sql.files.openCostInBytes"
@@ -209,3 +210,23 @@ def test_footers(spark, tmp_path):
     assert [(columns[c]["low"], columns[c]["high"]) for c in ("id", "text", "x")] == [("0", "999"), ("t1", "t998"), ("0.0", "249.75")]
     (one, *_) = tmp_path.glob("table/*.parquet")
     assert profiles.parquet_profile(spark, str(one)).first()["n_files"] == 1
+
+
+def test_shared_folder(spark, tmp_path, monkeypatch):
+    path = shared.scratch_path(spark, "x")
+    assert path.startswith(shared.own_dir(spark)) and spark.sparkContext.applicationId in path
+    sinks.write_parquet(spark.range(3), f"{tmp_path}/gone/x")
+    monkeypatch.setattr(shared, "own_dir", lambda _: f"file:{tmp_path}/gone")
+    assert shared.released(spark) and not os.path.exists(f"{tmp_path}/gone") and not shared.released(spark)
+
+    class Session:
+        def __init__(self, master, store, folder=None):
+            settings = {"spark.sql.warehouse.dir": store, shared.CHECKPOINT_SETTING: folder}
+            self.conf = types.SimpleNamespace(get=lambda name, default=None: settings[name] or default)
+            self.sparkContext = types.SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+
+    assert shared.shared_dir(Session("local[8]", "file:/w/")) == "file:/w/shared"
+    assert shared.shared_dir(Session("spark://x", "hdfs://n/w")) == "hdfs://n/w/shared"
+    assert shared.shared_dir(Session("yarn", "file:/w", "hdfs://n/c/")) == "hdfs://n/c"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Session("yarn", "file:/w"))
