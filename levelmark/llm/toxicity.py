@@ -18,15 +18,17 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from levelmark.llm.common import give_back, id_remainder, schema_with, slices
 from levelmark.llm.quality import one_label
+from levelmark.operators.joins import lookup_join
 from levelmark.sources.shared import written
 
 FOLDS, HELD_OUT = 5, 0
-#: Labelled documents that the model is fitted on, at most (chosen by hash of the id).
+#: Labelled documents that the trees are fitted on, at most: half of them of each class, by
+#: hash of the id. The lexicons are counted over all labelled documents.
 SAMPLE = 20_000
 #: Every so many of them go to the calibration instead of the trees.
 CALIBRATE = 4
@@ -188,12 +190,12 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def learn_lexicons(sample: DataFrame) -> dict[int | None, Lexicon]:
-    """Lexicons of the labelled sample (label, _text): the whole one under None,
-    and under 1 and 0 as a toxic or clean document of the sample sees it."""
-    counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+def learn_lexicons(labelled: DataFrame) -> dict[int | None, Lexicon]:
+    """Lexicons of all labelled documents (label, _text): the whole one under None,
+    and under 1 and 0 as a toxic or clean one of them sees it."""
+    counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
-    words = sample.select("label", "_text").mapInArrow(_count_words, "kind string, entry string, toxic long, clean long")
+    words = labelled.select("label", "_text").mapInArrow(_count_words, "kind string, entry string, toxic long, clean long")
     words = words.groupBy("kind", "entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     # Only what could pass the thresholds comes back, the commonest first, for each kind twice a lexicon at most.
     odds = (F.col("toxic") + 0.5) / (toxic + 1) / ((F.greatest(F.col("clean") - 1, F.lit(0)) + 0.5) / (clean + 1))
@@ -225,22 +227,23 @@ class Model:
     """Lexicons, trees and calibration; without rows of both classes, one score."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT):
-        chosen = one_label(labels, label).where(id_remainder("doc_id", folds) != held_out)
-        chosen = chosen.orderBy(F.xxhash64(F.lit(SEED), "doc_id")).limit(SAMPLE)
-        # At most SAMPLE ids: 12 bytes each.
+        chosen = written(one_label(labels, label).where(id_remainder("doc_id", folds) != held_out), "labels")
         text = F.coalesce("text", F.lit("")).alias("_text")
-        rows = docs.select("doc_id", text).join(F.broadcast(written(chosen, "labels")), "doc_id")
+        rows = lookup_join(docs.select("doc_id", text), chosen, ["doc_id"], "inner", ["doc_id"])
         # Copies of a text would make its words look common; one of each is learnt from, the
         # same in every run: the larger label, and the smallest id, which decides its use.
         one = rows.groupBy("_text").agg(F.max("label").alias("label"), F.min("doc_id").alias("doc_id"))
-        self.sample = written(one.select("label", "_text", "doc_id"), "sample")
+        self.labelled = written(one.select("label", "_text", "doc_id"), "labelled")
+        draw = Window.partitionBy("label").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id")
+        sample = self.labelled.withColumn("_rank", F.row_number().over(draw)).where(F.col("_rank") <= SAMPLE // 2).drop("_rank")
+        self.sample = written(sample, "sample")
         shares = {r["label"]: r["count"] for r in self.sample.groupBy("label").count().collect()}
         self.score = None if len(shares) == 2 else float(next(iter(shares), 0))
         if self.score is None:
             self._fit()
 
     def _fit(self) -> None:
-        self.lexicons = learn_lexicons(self.sample)
+        self.lexicons = learn_lexicons(self.labelled)
         rows = _with_features(self.sample, self.lexicons, True).withColumn("weight", F.lit(1.0))
         # Places and order by id, so that the trees see the rows alike in every run.
         rows = rows.repartition(4, "doc_id").sortWithinPartitions("doc_id", "label", "x")
@@ -284,8 +287,9 @@ class Model:
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
-    Learns from a sample (SAMPLE ids by hash) of the labelled rows whose
-    crc32(doc_id) modulo 5 is not 0; scores all. Null and empty texts have
+    Learns from the labelled rows whose crc32(doc_id) modulo 5 is not 0: words
+    from all of them, trees from a sample (SAMPLE by hash of the id, half of each
+    class); scores all. Null and empty texts have
     all-zero features. Without labelled rows of both classes every score is the
     one class there is, or 0. Of several labels of an id the larger counts; only
     doc_id and text are read; repeated rows are scored one by one. The same rows
