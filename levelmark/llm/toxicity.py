@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from levelmark.llm.common import give_back, id_remainder, schema_with, slices
@@ -200,6 +200,7 @@ def learn_lexicons(labelled: DataFrame) -> dict[int | None, Lexicon]:
     # Only what could pass the thresholds comes back, the commonest first, for each kind twice a lexicon at most.
     odds = (F.col("toxic") + 0.5) / (toxic + 1) / ((F.greatest(F.col("clean") - 1, F.lit(0)) + 0.5) / (clean + 1))
     words = words.where((F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * (toxic - 1))) & (odds >= float(np.exp(LEAST_WEIGHT - 0.5))))
+    words = written(words, "words")  # asked for each kind
     rows = {k: words.where(F.col("kind") == k).orderBy(F.desc("toxic"), "entry").limit(2 * LEXICON).collect() for k in ("word", "start")}
     entries = {k: [(r["entry"], r["toxic"], r["clean"]) for r in v] for k, v in rows.items()}
     return {own: Lexicon(*(_weights(entries[k], toxic, clean, own) for k in ("word", "start"))) for own in (None, 1, 0)}
@@ -234,9 +235,11 @@ class Model:
         # same in every run: the larger label, and the smallest id, which decides its use.
         one = rows.groupBy("_text").agg(F.max("label").alias("label"), F.min("doc_id").alias("doc_id"))
         self.labelled = written(one.select("label", "_text", "doc_id"), "labelled")
-        draw = Window.partitionBy("label").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id")
-        sample = self.labelled.withColumn("_rank", F.row_number().over(draw)).where(F.col("_rank") <= SAMPLE // 2).drop("_rank")
-        self.sample = written(sample, "sample")
+        ids = self.labelled.select("label", "doc_id")  # drawn before their texts are fetched
+        drawn = [ids.where(F.col("label") == k).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(SAMPLE // 2) for k in (0, 1)]
+        # At most SAMPLE ids of 12 bytes.
+        of_sample = F.broadcast(written(drawn[0].unionByName(drawn[1]).distinct(), "drawn"))
+        self.sample = written(self.labelled.join(of_sample, ["label", "doc_id"], "left_semi"), "sample")
         shares = {r["label"]: r["count"] for r in self.sample.groupBy("label").count().collect()}
         self.score = None if len(shares) == 2 else float(next(iter(shares), 0))
         if self.score is None:
