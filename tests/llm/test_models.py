@@ -88,7 +88,7 @@ def test_obfuscated_words_are_read():
 
 
 def test_queries_are_registered():
-    assert [int(name[2:].split("_")[0]) for name in QUERIES] == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+    assert [int(name[2:].split("_")[0]) for name in QUERIES] == list(range(1, 14)) and set(ORACLES) <= set(QUERIES)
 
 
 def test_pipeline_stages(spark, folder):
