@@ -8,13 +8,14 @@ kept; `sf_dir` serves to read the labels. Stages return the columns of
 from pyspark.sql import DataFrame, SparkSession
 
 from levelmark.llm import block_naming, mixing, signature_join, toxicity, trie_bpe
-from levelmark.llm.common import table
+from levelmark.llm.common import small_batches, table
 from levelmark.llm.queries import VOCABULARY
 from levelmark.sources.shared import written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents judged toxic go; the model learns from the labelled rows of `docs`."""
+    small_batches(spark)
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
@@ -26,16 +27,19 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at a Jaccard similarity of 0.8
     the one with the smallest doc_id stays."""
+    small_batches(spark)
     return signature_join.keep_one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture draws them."""
+    small_batches(spark)
     return mixing.mixture(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row."""
+    small_batches(spark)
     return trie_bpe.digests(docs, VOCABULARY)
 
 

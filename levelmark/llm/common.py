@@ -113,6 +113,18 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, chars: int = SLICE_CHAR
                 start, texts, size = i + 1, [], 0
 
 
+#: Bytes of an Arrow batch between Spark and a worker, in sessions that say nothing else.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 * 1024 * 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has the session send texts to its workers in batches of BATCH_BYTES, where
+    it has not been told a smaller size. A batch is held several times, by the JVM
+    while it grows and by the worker; operators work with any size."""
+    if int(spark.conf.get(BATCH_SETTING).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
 def _sums_in_range(weights: dict[str, str]):
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()

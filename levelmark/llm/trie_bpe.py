@@ -207,7 +207,9 @@ def _read(path: str) -> str:
 def _known(path: str) -> tuple[str, frozenset[int]]:
     """The file, and what takes long to find out of it: once, not in every task."""
     text = _read(path)
-    return text, TrieBpe(text).own
+    own = TrieBpe(text).own
+    give_back()  # the driver keeps nothing of the tables
+    return text, own
 
 
 def _coded(docs: DataFrame, path: str, keep: list[str], made: str, columns) -> DataFrame:
