@@ -15,7 +15,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 QUOTE, DELIMITER = '"', ","
 BYTE_ORDER_MARK = "﻿"
