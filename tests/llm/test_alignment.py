@@ -187,3 +187,15 @@ def test_token_groups(spark, libraries):
     assert found[1]["a_ids"] == [i for a, _ in groups for i in a] and found[1]["b_ids"] == [i for _, b in groups for i in b]
     assert found[1]["a_ends"][-1] == len(found[1]["a_ids"]) and len(found[1]["b_ends"]) == len(groups)
     assert found[2]["a_ids"] == found[3]["b_ends"] == []
+
+
+def test_very_long_texts(libraries, coders):
+    """Megabytes in one text: many lanes, one lane, one long run."""
+    draw = random.Random(12)
+    words = ["the", "naïve", "worker's", "3.14", "Straße", "élève,", "x" * 40]
+    texts = [" ".join(draw.choices(words, k=150_000)), "ab" * 200_000, " " * 100_000, "\n".join(draw.choices(words, k=30_000))]
+    x = alignment.align(coders, texts)
+    for k, text in enumerate(texts):
+        assert x.texts_a[k + 1] - x.texts_a[k] == len(libraries[0].encode(" " + text, add_special_tokens=False).ids)
+        assert x.texts_b[k + 1] - x.texts_b[k] == len(libraries[1].encode(text))
+    assert len(x.groups_a) == len(x.groups_b) and (np.diff(x.texts_g) > 0).all()
