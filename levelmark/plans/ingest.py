@@ -134,12 +134,13 @@ CSV_ORDER = ["src_file", "start", "number"]
 
 def file_sets(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length, role, format) of what lies in a folder: a file, or a folder
-    of part files that goes by one name. The framework's names start with its prefix."""
+    of part files that goes by one name. The framework's names start with its prefix.
+    The length is that of the largest file, as the limit is one of each file."""
     folder = folder.rstrip("/")
     files = list_files(spark, folder)
     place = F.regexp_replace(F.lit(folder), "^file:/+", "/")
     name = F.regexp_extract(F.substr("path", F.instr("path", place) + F.length(place) + 1), "^[^/]*", 0)
-    sets = files.groupBy(name.alias("name")).agg(F.sum("length").alias("length"))
+    sets = files.groupBy(name.alias("name")).agg(F.max("length").alias("length"))
     role = F.when(F.col("name").startswith(FRAMEWORK_PREFIX), "framework").otherwise("listing")
     suffix = F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1))
     return sets.select(F.concat(F.lit(f"{folder}/"), F.col("name")).alias("path"), "length", role.alias("role"), suffix.alias("format"))

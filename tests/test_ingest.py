@@ -88,3 +88,16 @@ def test_folders_that_are_refused(spark, tmp_path):
         "empty": [(d, r) for d in ("framework", "listing") for r in ("empty_file", "missing_file")],
         "nothing": [(d, "missing_file") for d in ("framework", "listing")],
     }
+
+
+@pytest.mark.parametrize("rows_per_file", [1, 2])
+def test_the_size_limit_is_one_of_each_file(spark, tmp_path, rows_per_file):
+    """Two parts of 0.6 MB make a listing of over 1 MB: only as one file it is too large."""
+    made = upload(spark, rows=[(f"c{i}", f"title {i}", "t", "a" * 600_000, "l", i) for i in range(2)])
+    listing = publish(made.listing.drop("src_row"), LISTING_COLUMNS).coalesce(1)
+    sinks.write_csv(publish(made.framework, FRAMEWORK_COLUMNS), f"{tmp_path}/in/SFW_Human Resource.csv")
+    sinks.write_csv(listing, f"{tmp_path}/in/HR_Human Resource_sector_course_listing.csv", rows_per_file)
+    passed, _ = ingest_folder(spark, f"{tmp_path}/in", "HR", f"{tmp_path}/out", "20240102_0304", ["about"], max_mb=1)
+    assert passed == (rows_per_file == 1)
+    report = {r["rule"] for r in spark.read.parquet(f"{tmp_path}/out/report").collect()}
+    assert ("too_large" in report) == (rows_per_file == 2)
