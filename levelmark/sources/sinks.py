@@ -57,11 +57,12 @@ def write_results(df: DataFrame, root: str, alias: str) -> None:
     versions.publish(df, root, alias)
 
 
-def write_csv(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
+def write_csv(df: DataFrame, path: str, rows_per_file: int = 1_000_000, compression: str = "none") -> None:
     """Header in every part file; parts are written in parallel, in files of bounded length."""
     (
         df.write.mode("overwrite")
         .option("maxRecordsPerFile", rows_per_file)
+        .option("compression", compression)
         .option("header", True)
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
