@@ -1,5 +1,6 @@
 """Stored runs: invariants, resume, streaming, sources and sinks."""
 
+import hashlib
 import json
 import os
 import pathlib
@@ -11,6 +12,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from levelmark.plans import runs
+from levelmark.plans.rounds import work_identity
 from levelmark.plans.runs import RunSettings, RunStore, run_two_rounds
 from levelmark.schemas import FILE_ORDER, FRAMEWORK_COLUMNS, LISTING_COLUMNS, framework_schema, listing_schema, shorten
 from levelmark.sources import profiles, scans, sinks
@@ -441,3 +443,27 @@ def test_random_listing_against_brute_force(spark, tmp_path, seed, forced):
     assert set(expected.values()) == {"irrelevant", "all_tagged", "valid", "invalid"}
     # Every clean row is in one bucket of round one.
     assert tagged.count() == len(expected) == tagged.select("course_ref", "skill_key").distinct().count()
+
+
+def test_ids_are_short_and_few_chunks_are_written_where_the_rows_are(spark, tmp_path):
+    """A hash and a shuffle of the work were most of what a stored run wrote."""
+    made = work_identity(F.col("course"), F.col("title")).alias("work_id")
+    rows = [("c1", "excel"), ("c1", "x" * 70), (None, "c1"), ("c1", None), ("c1", "")]
+    ids = [r["work_id"] for r in spark.createDataFrame(rows, "course string, title string").coalesce(1).select(made).collect()]
+    hashed = [hashlib.sha256(x.encode()).hexdigest() for x in ("c1\x1f" + "x" * 70, "c1", "c1")]
+    assert ids == ["c1\x1fexcel", *hashed, "c1\x1f"]
+    work = spark.range(0, 400, 1, 4).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("work_id"))
+    for chunks, files in ((3, 12), (20, None)):
+        store = RunStore(spark, f"{tmp_path}/{chunks}")
+        assert store.keep_work(work, "work", wanted=chunks).select("work_id", "chunk").distinct().count() == 400
+        found = len(list(pathlib.Path(store.path("work")).glob("chunk=*/*.parquet")))
+        assert found == files or files is None and found < 4 * chunks
+
+
+def test_compressed_csv_files_are_converted_like_plain_ones(spark, tmp_path):
+    texts = [(f"c{i}", 'say "hi", \n twice', "a\r\nb", "é", None) for i in range(50)]
+    df = spark.createDataFrame(texts, listing_schema()).coalesce(1)
+    sinks.write_csv(df, f"{tmp_path}/csv", rows_per_file=20, compression="gzip")
+    assert len(list(pathlib.Path(f"{tmp_path}/csv").glob("*.csv.gz"))) == 3
+    table = sinks.convert_csv(spark, f"{tmp_path}/csv", listing_schema(), f"{tmp_path}/out").drop("src_file", sinks.BAD_RECORD)
+    assert sorted(map(tuple, table.collect())) == sorted(texts)
