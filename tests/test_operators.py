@@ -18,9 +18,18 @@ from levelmark.operators.listing import (
     mixed_formats,
 )
 from levelmark.operators.progress import eta_seconds, eta_text
-from levelmark.operators.prompts import knowledge_texts, level_texts, round1_prompts, round2_prompts
+from levelmark.operators.prompts import (
+    SplitPrompts,
+    knowledge_texts,
+    level_texts,
+    round1_prompts,
+    round2_prompts,
+    split_round1,
+    split_round2,
+)
 from levelmark.operators.routing import flag_relevance
-from levelmark.operators.scoring import lexical_levels, score
+from levelmark.operators.scoring import lexical_levels, score, wait_turn
+from levelmark.workload import scoring as queries
 
 FRAMEWORK = "ord long, sector string, title string, level int, level_descr string, item_class string, item string"
 
@@ -47,6 +56,14 @@ def test_salted_join_equals_the_plain_join(spark, skewed, how):
     assert sorted_rows(salted) == sorted_rows(skewed.join(right, ["k"], how))
 
 
+@pytest.mark.parametrize("hot_rows", [100, 10_000])
+def test_a_join_has_the_partitions_it_is_given(spark, skewed, hot_rows):
+    right = spark.createDataFrame([(i, f"r{i % 7}") for i in range(40)], "k int, w string")
+    joined = salted_join(skewed, right, ["k"], "left", salt_by=["v"], hot_rows=hot_rows, salts=8, partitions=13)
+    assert joined.rdd.getNumPartitions() == 13
+    assert sorted_rows(joined) == sorted_rows(skewed.join(right, ["k"], "left"))
+
+
 def test_salted_join_spreads_the_hot_key(spark, skewed):
     right = spark.range(50).select(F.col("id").cast("int").alias("k"))
     seen = (
@@ -171,6 +188,45 @@ def test_round1_prompt(work, topics):
     assert rows["w3"]["prompt"] is None and rows["w3"]["prompt_error"] == "topic not in the framework"
 
 
+def test_prompts_in_two_parts_are_the_whole_prompts(spark, work, topics):
+    """A topic's text goes to the workers once, not with each row."""
+    bare = [(k, k and "excel", "Excel", None, None, "L", None) for k in ("w4", None)]
+    rows = work.unionByName(spark.createDataFrame(bare, work.schema))
+    rows = rows.unionByName(work.where("work_id = 'w1'").withColumn("work_id", F.lit("w5")).withColumn("skill_key", F.lit(None).cast("string")))
+    make = lambda: lambda system, prompt: prompt.upper()
+    for whole, split, texts in ((round1_prompts, split_round1, level_texts), (round2_prompts, split_round2, knowledge_texts)):
+        made = texts(topics, ["ord"])
+        expected = sorted_rows(score(whole(rows, made, ["work_id"]), make, "s"))
+        parts = split(rows, made, ["work_id"])
+        assert isinstance(parts, SplitPrompts) and {"excel", "sql"} <= set(parts.ends)
+        assert sorted_rows(score(parts, make, "s")) == expected
+        too_large = split(rows, made._replace(fits=False), ["work_id"])
+        assert not isinstance(too_large, SplitPrompts) and sorted_rows(score(too_large, make, "s")) == expected
+
+
+def test_long_work_is_shuffled_once_to_as_many_tasks_as_its_rows_need(spark, folder):
+    spark.conf.set("spark.levelmark.taskRows", 500)  # of 6,000 rows
+    try:
+        work = queries.long_work(spark, folder)
+        assert work.rdd.getNumPartitions() == 12
+    finally:
+        spark.conf.unset("spark.levelmark.taskRows")
+    made = work._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(course_ref" in made
+    assert not any("skill_key" in line for line in made.splitlines() if "Exchange hashpartitioning(course_ref" in line)
+
+
+def test_short_gaps_between_calls_are_kept():
+    """A sleep takes many times a gap of ten microseconds."""
+    spent = []
+    for _ in range(3):
+        start = time.monotonic()
+        for _ in range(5_000):
+            wait_turn(1e-5)
+        spent.append(time.monotonic() - start)
+    assert 0.0499 <= min(spent) < 0.15
+
+
 def test_setup_chooses_the_item_lists(work, topics):
     only = round1_prompts(work, level_texts(topics, ["ord"], setup=1), ["work_id"]).where("work_id = 'w1'").first()["prompt"]
     assert "Knowledge Items:" in only and "Ability Items:" not in only
