@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from levelmark.operators.joins import fits_broadcast, hot_keys, lookup_join
+from levelmark.operators.joins import fits_broadcast, hot_keys, lookup_join, partitions_for
 from levelmark.sources.shared import scratch_path, written
 
 COURSE = "course_ref"
@@ -39,16 +39,18 @@ def _in_place(left: DataFrame, right: DataFrame, on: list[str], how: str, salt_b
 
 def store_by_course(listing: DataFrame, name: str, courses: DataFrame | None = None, buckets: int | None = None, hot_rows: int | None = None) -> None:
     """Stores a listing as the session's tables `name` and `name`_hot, below the
-    shared folder: one scan for either table. Hot courses are counted on `courses`
+    shared folder: one scan for either table. There are so many buckets that one holds
+    few rows, as a later query sorts each whole. Hot courses are counted on `courses`
     where that is a cheaper table of the same rows."""
     spark = listing.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot = written(hot_keys(listing if courses is None else courses, [COURSE], hot_rows).where(F.col(COURSE).isNotNull()), "hot")
+    known = listing if courses is None else courses
+    buckets = buckets or partitions_for(spark, known.count())
+    hot = written(hot_keys(known, [COURSE], hot_rows).where(F.col(COURSE).isNotNull()), "hot")
     apart = F.col(COURSE).isNull()
     marked = listing.withColumn("_apart", apart)
     if not hot.isEmpty():
-        known = F.broadcast(hot) if fits_broadcast(hot) else hot
-        marked = listing.join(known, COURSE, "left").withColumn("_apart", apart | F.coalesce("_hot", F.lit(False))).drop("_hot")
+        apart_ones = F.broadcast(hot) if fits_broadcast(hot) else hot
+        marked = listing.join(apart_ones, COURSE, "left").withColumn("_apart", apart | F.coalesce("_hot", F.lit(False))).drop("_hot")
     rows = marked.where(~F.col("_apart")).drop("_apart").repartition(buckets, COURSE)
     rows.write.bucketBy(buckets, COURSE).sortBy(COURSE).option("path", scratch_path(spark, name)).saveAsTable(name)
     marked.where("_apart").drop("_apart").write.option("path", scratch_path(spark, name)).saveAsTable(f"{name}_hot")

@@ -72,3 +72,15 @@ def test_filters_know_every_id_and_few_others(spark):
         assert (sum(r["skipped"] for r in left) > 39_000) == (bits > 64)
     nothing = anti_join_filtered(rows, known.where("false"), "work_id", 1 << 10)
     assert nothing.count() == rows.count()
+
+
+def test_buckets_grow_with_the_listing(spark):
+    """A later query sorts a bucket whole, so one holds few rows however long the listing is."""
+    listing = spark.range(1000).select(F.col("id").alias("course_ref"), F.col("id").alias("n"))
+    spark.conf.set("spark.levelmark.taskRows", 50)
+    try:
+        store_by_course(listing, "long_listing")
+    finally:
+        spark.conf.unset("spark.levelmark.taskRows")
+    found = stored(spark, "long_listing").rows
+    assert found.count() == 1000 and found.groupBy("course_ref").count().rdd.getNumPartitions() == 20
