@@ -51,30 +51,43 @@ def _word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     return mixed(hashes ^ (sizes.astype(np.uint64) * _STEP)), counts
 
 
-def _shingle_sets(data: np.ndarray, starts: np.ndarray, k: int) -> Iterator[np.ndarray]:
+def _shingle_sets(data: np.ndarray, starts: np.ndarray, k: int, weights: np.ndarray | None) -> Iterator:
     words, counts = _word_hashes(data, starts)
     factors = _powers(k)[1:]
     with np.errstate(over="ignore"):
         if len(words) >= k:
             rolled = mixed(sum(words[i : len(words) - k + 1 + i] * factors[i] for i in range(k)))
+            if weights is not None:
+                own = weights[bucket_of(words, len(weights))].astype(np.uint32)
+                summed = sum(own[i : len(words) - k + 1 + i] for i in range(k))
         for low, high in zip(counts[:-1], counts[1:], strict=True):
             n = high - low
             if n >= k:
-                yield np.unique(rolled[low : high - k + 1])
-            elif n:
+                here = slice(low, high - k + 1)
+                yield np.unique(rolled[here]) if weights is None else _distinct(rolled[here], summed[here])
+                continue
+            if n:
                 whole = (words[low:high] * factors[:n]).sum(dtype=np.uint64) + np.uint64(n)
-                yield mixed(np.array([whole], np.uint64) ^ _STEP)
+                members = mixed(np.array([whole], np.uint64) ^ _STEP)
             else:
-                yield np.empty(0, np.uint64)
+                members = np.empty(0, np.uint64)
+            yield members if weights is None else (members, np.zeros(len(members), np.uint32))
 
 
-def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
-    """Each text's distinct k-word shingles, sorted, as 64-bit hashes.
+def _distinct(shingles: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(shingles)
+    shingles = shingles[order]
+    first = np.append(True, shingles[1:] != shingles[:-1])
+    return shingles[first], weight[order[first]]
 
-    A-Z count as a-z; words are runs of other than space and the controls 9 to
-    13. With fewer than k words the whole sequence is the one shingle; a null
-    text, or one without words, has none.
-    """
+
+def bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
+    """Words by their hashes, in so many buckets (a power of two)."""
+    return (words & np.uint64(buckets - 1)).astype(np.int64)
+
+
+def _sliced(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The texts' bytes, about SLICE_BYTES at a time, with the start of each text."""
     texts = texts.fill_null("").cast(pa.large_string())
     _, offsets, data = texts.buffers()
     ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -83,5 +96,30 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     while low < len(texts):
         high = max(low + 1, int(np.searchsorted(ends, ends[low] + SLICE_BYTES, "right")) - 1)
         high = min(high, len(texts))
-        yield from _shingle_sets(data[ends[low] : ends[high]], ends[low:high] - ends[low], k)
+        yield data[ends[low] : ends[high]], ends[low:high] - ends[low]
         low = high
+
+
+def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
+    """Each text's distinct k-word shingles, sorted, as 64-bit hashes.
+
+    A-Z count as a-z; words are runs of other than space and the controls 9 to
+    13. With fewer than k words the whole sequence is the one shingle; a null
+    text, or one without words, has none.
+    """
+    for data, starts in _sliced(texts):
+        yield from _shingle_sets(data, starts, k, None)
+
+
+def weighted_sets(texts: pa.Array, k: int, weights: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As `shingle_sets`, each set with a number per shingle: what its words weigh
+    together, by `weights` of their buckets."""
+    for data, starts in _sliced(texts):
+        yield from _shingle_sets(data, starts, k, weights)
+
+
+def count_words(texts: pa.Array, counts: np.ndarray) -> None:
+    """Adds the words of all texts to the counts of their buckets."""
+    for data, starts in _sliced(texts):
+        words, _ = _word_hashes(data, starts)
+        np.add.at(counts, bucket_of(words, len(counts)), 1)

@@ -12,8 +12,9 @@ left are compared shingle by shingle.
 Trees are grown where links can be. Two sets with Jaccard similarity t share one
 of the first n - ceil(t n) + 1 shingles of each in any common order, so only
 documents that share one of those, and whose signatures allow it, can be linked.
-The order puts shingles that many documents hold last, so shared passages bring
-few together. The groups found this way are cut into pieces of bounded size: first
+The order goes by how common the words of a shingle are together, so that the
+first ones are rare however many documents there are, and puts shingles that many
+documents were seen to hold last, so shared passages bring few together. The groups found this way are cut into pieces of bounded size: first
 each piece is joined with itself and the next, then those pairs of pieces whose
 root nodes could still hold a link between components.
 
@@ -22,6 +23,7 @@ shingles and the cut into pieces decide how long it takes, not what is found.
 """
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,19 +32,22 @@ from pyspark.sql import functions as F
 
 from levelmark.llm.common import ROW_KEYS, row_keys, running_totals, schema_with, without_rows
 from levelmark.llm.components import components
-from levelmark.llm.shingles import mixed, shingle_sets
+from levelmark.llm.shingles import count_words, mixed, shingle_sets, weighted_sets
 from levelmark.operators.joins import lookup_join
 from levelmark.sources.shared import written
 
 WORDS, PERCENT = 4, 85
 #: Common shingles that the order knows, at most, and the count from which one may be common.
 COMMON, COMMON_COUNT = 200_000, 8
+#: Buckets that words are counted in, and the steps of a weight for twice the count.
+BUCKETS, STEPS = 1 << 18, 8
 #: A task reports shingles that it met in so many documents.
 TASK_COUNT = 3
 #: Shingles of a piece of a group, about.
 PIECE_SHINGLES = 1 << 19
-#: Sets of one shingle that are paired by their bitmaps; more are taken as they are.
-RUN = 64
+#: Sets of one shingle that are paired by their bitmaps; more are taken as they are. Few:
+#: shingles that so many documents have among their first are known as common ones.
+RUN = 1024
 #: Children of a node, and the widest signature in bits.
 FAN, WIDEST = 8, 1 << 15
 
@@ -161,22 +166,35 @@ def _unpacked(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
 
 
-def _common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of common shingles, ascending, and their rank by number of documents.
+class Order(NamedTuple):
+    """What the order of shingles goes by, one size however many documents there are."""
 
-    Shingles that a task meets in TASK_COUNT documents are counted over all
-    tasks; those with the highest counts come back, at most COMMON. They order
-    shingles and nothing else."""
+    #: Hashes of common shingles, ascending, and their rank by number of documents.
+    common: np.ndarray
+    rank: np.ndarray
+    #: By bucket of words, the logarithm of their number.
+    weights: np.ndarray
+
+
+def _order(texts: DataFrame, words: int) -> Order:
+    """Shingles that a task meets in TASK_COUNT documents are counted over all
+    tasks; those with the highest counts come back, at most COMMON. Words are
+    counted by bucket. Both order shingles and nothing else."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
+        parts, size, in_bucket = [], 0, np.zeros(BUCKETS, np.int64)
+
+        def rows(key, n, word):
+            columns = [pa.array(key), pa.array(n), pa.array(np.full(len(key), word))]
+            return pa.RecordBatch.from_arrays(columns, ["key", "n", "word"])
 
         def flush():
             shingles, n = np.unique(np.concatenate([np.empty(0, np.uint64), *parts]), return_counts=True)
             often = n >= TASK_COUNT
-            return pa.RecordBatch.from_arrays([pa.array(shingles[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["shingle", "n"])
+            return rows(shingles[often].view(np.int64), n[often].astype(np.int64), False)
 
         for batch in batches:
+            count_words(batch.column("text"), in_bucket)
             for members in shingle_sets(batch.column("text"), words):
                 parts.append(members)
                 size += len(members)
@@ -184,50 +202,59 @@ def _common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarr
                     yield flush()
                     parts, size = [], 0
         yield flush()
-
-    counts = texts.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    counts = written(counts.where(F.col("n") >= COMMON_COUNT).withColumn("step", F.floor(F.log2("n") * 8).cast("int")), "common")
-    room, least = COMMON, 1 << 30
+        met = np.flatnonzero(in_bucket)
+        yield rows(met, in_bucket[met], True)
+
+    counts = texts.select("text").mapInArrow(count, "key long, n long, word boolean").groupBy("word", "key").agg(F.sum("n").alias("n"))
+    counts = counts.where(F.col("word") | (F.col("n") >= COMMON_COUNT))
+    counts = written(counts.withColumn("step", F.floor(F.log2("n") * STEPS).cast("int")), "common")
+    in_bucket = counts.where("word").select("key", "step").toArrow()  # at most BUCKETS rows
+    weights = np.zeros(BUCKETS, np.uint16)
+    weights[in_bucket.column("key").to_numpy()] = in_bucket.column("step").to_numpy()
+    counts, room, least = counts.where("not word"), COMMON, 1 << 30
     for row in counts.groupBy("step").count().orderBy(F.desc("step")).collect():  # at most 8 x 64 rows
         room -= row["count"]
         if room < 0:
             break
         least = row["step"]
-    chosen = counts.where(F.col("step") >= least).orderBy("n", "shingle").select("shingle").toArrow().column(0).to_numpy()
+    chosen = counts.where(F.col("step") >= least).orderBy("n", "key").select("key").toArrow().column(0).to_numpy()
     hashes = chosen.astype(np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    return hashes[order], np.arange(len(hashes))[order]
+    return Order(hashes[order], np.arange(len(hashes), dtype=np.uint64)[order], weights)
+
 
+#: A shingle's place in the order: its weight, then the upper bits of its hash or, for a common one, the rank.
+HASH_BITS, LAST = np.uint64(48), 0xFFFF
 
-def prefix(members: np.ndarray, common: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
-    """The first n - ceil(percent n / 100) + 1 shingles: rare ones by hash, then common ones by rank."""
+
+def prefix(members: np.ndarray, weight: np.ndarray, order: Order, percent: int) -> np.ndarray:
+    """The first n - ceil(percent n / 100) + 1 shingles, and those whose place is
+    that of the last one: those of rare words first, then by hash, then common ones by rank."""
     n = len(members)
     need = n - (percent * n + 99) // 100 + 1
-    if len(common):
-        at = np.minimum(np.searchsorted(common, members), len(common) - 1)
-        known = common[at] == members
-        rare = members[~known]
-        if len(rare) < need:
-            return np.concatenate([rare, members[known][np.argsort(rank[at[known]])][: need - len(rare)]])
-        return rare[:need]
-    return members[:need]
+    place = np.minimum(weight, LAST - 1).astype(np.uint64) << HASH_BITS | members >> (np.uint64(64) - HASH_BITS)
+    if len(order.common):
+        at = np.minimum(np.searchsorted(order.common, members), len(order.common) - 1)
+        known = order.common[at] == members
+        place[known] = np.uint64(LAST) << HASH_BITS | order.rank[at[known]]
+    return members[place <= np.partition(place, need - 1)[need - 1]]
 
 
-def _signed(texts: DataFrame, words: int, percent: int, common: np.ndarray, rank: np.ndarray) -> DataFrame:
+def _signed(texts: DataFrame, words: int, percent: int, order: Order) -> DataFrame:
     """Adds n_shingles, a 128-bit print of the set, and the prefix; text goes."""
     spark = texts.sparkSession
-    order = spark.sparkContext.broadcast((common, rank))  # at most COMMON entries of 16 bytes
+    sent = spark.sparkContext.broadcast(tuple(order))  # at most COMMON entries of 16 bytes, BUCKETS of 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, rank = order.value
+        order = Order(*sent.value)
         for batch in batches:
             n, one, two, keys, maps = [], [], [], [], []
-            for members in shingle_sets(batch.column("text"), words):
+            for members, weight in weighted_sets(batch.column("text"), words, order.weights):
                 n.append(len(members))
                 one.append(mixed(members).sum(dtype=np.uint64))
                 two.append(mixed(members ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64))
                 maps.append(sketch(members) if len(members) else None)
-                keys.append(prefix(members, common, rank, percent).view(np.int64) if len(members) else np.empty(0, np.int64))
+                keys.append(prefix(members, weight, order, percent).view(np.int64) if len(members) else np.empty(0, np.int64))
             kept = [c for c in batch.schema.names if c != "text"]
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             keys = pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int64), *keys]))
@@ -300,15 +327,53 @@ def sketch(members: np.ndarray) -> bytes:
     return np.packbits(marks, bitorder="little").tobytes()
 
 
-def _may_link(n: int, one: np.ndarray, m: int, two: np.ndarray, percent: int) -> bool:
-    """The bound of can_link for two documents; the wider bitmap is folded."""
-    if min(n, m) * 100 < max(n, m) * percent:
-        return False
-    size = min(len(one), len(two))
-    one, two = (np.bitwise_or.reduce(x.reshape(-1, size), axis=0) if len(x) > size else x for x in (one, two))
-    shared = int(np.bitwise_count(one & two).sum())
-    hidden = min(n - int(np.bitwise_count(one).sum()), m - int(np.bitwise_count(two).sum()))
-    return min(n, m, shared + hidden) * (100 + percent) >= (n + m) * percent
+class Maps:
+    """Bitmaps of sets in the order of their size, and so of their width; folded
+    to a narrower width where a smaller set asks for it."""
+
+    def __init__(self, maps: list[np.ndarray], size: np.ndarray):
+        self.size, widths = size, np.array([len(x) for x in maps])
+        cuts = np.append(np.flatnonzero(np.append(True, widths[1:] != widths[:-1])), len(maps))
+        self.ends = dict(zip(widths[cuts[:-1]].tolist(), zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True), strict=True))
+        self.folded = {(w, w): self._counted(w, np.stack(maps[low:high])) for w, (low, high) in self.ends.items()}
+        self.width = widths.tolist()
+
+    def _counted(self, width: int, maps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """With the shingles that each map hides behind shared bits."""
+        low, high = self.ends[width]
+        return maps, self.size[low:high] - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+
+    def partners(self, i: int, of: np.ndarray, percent: int) -> np.ndarray:
+        """Those of the larger sets `of`, ascending, that set i could link with:
+        the bound of can_link."""
+        width, found = self.width[i], []
+        own, hidden = (x[i - self.ends[width][0]] for x in self.folded[width, width])
+        for wide, (low, high) in self.ends.items():
+            here = of[slice(*np.searchsorted(of, [low, high]))]
+            if not len(here):
+                continue
+            if (wide, width) not in self.folded:
+                maps = self.folded[wide, wide][0]
+                self.folded[wide, width] = self._counted(wide, np.bitwise_or.reduce(maps.reshape(len(maps), -1, width), axis=1))
+            maps, behind = (x[here - low] for x in self.folded[wide, width])
+            shared = np.bitwise_count(maps & own).sum(axis=1, dtype=np.int64) + np.minimum(hidden, behind)
+            found.append(here[np.minimum(self.size[i], shared) * (100 + percent) >= (self.size[i] + self.size[here]) * percent])
+        return np.concatenate(found)
+
+
+def _paired(size: np.ndarray, maps: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs that connect all sets which could link; sizes ascend."""
+    held, label = Maps(maps, size), np.arange(len(size))
+    last = np.searchsorted(size, size * 100 // percent, "right")
+    for i, end in enumerate(last):
+        larger = np.arange(i + 1, end)
+        larger = larger[label[larger] != label[i]]
+        if not len(larger):
+            continue
+        for j in held.partners(i, larger, percent):
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                yield i, int(j)
 
 
 def _possible(percent: int):
@@ -333,15 +398,8 @@ def _possible(percent: int):
         found = []
         for low, high in zip(cuts[:-1], cuts[1:], strict=True):
             order = low + np.argsort(size[low:high], kind="stable")
-            label = {int(i): int(i) for i in order}
-            for x, i in enumerate(order):
-                for j in order[x + 1 :]:
-                    if size[i] * 100 < size[j] * percent:
-                        break
-                    if label[i] != label[j] and _may_link(int(size[i]), maps[i], int(size[j]), maps[j], percent):
-                        old, new = label[j], label[i]
-                        label = {k: new if v == old else v for k, v in label.items()}
-                        found.append((int(node[i]), int(node[j])))
+            pairs = _paired(size[order], [maps[i] for i in order], percent)
+            found += [(int(node[order[i]]), int(node[order[j]])) for i, j in pairs]
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -474,7 +532,7 @@ def similar_documents(docs: DataFrame, words: int = WORDS, percent: int = PERCEN
     equal texts do. Columns beside doc_id and text are not read.
     """
     texts = docs.select("doc_id", *row_keys(), "text")
-    signed = written(_signed(texts, words, percent, *_common_shingles(texts, words)), "signed")
+    signed = written(_signed(texts, words, percent, _order(texts, words)), "signed")
     sets = signed.where("n_shingles > 0").groupBy(*PRINT).agg(F.min("doc_id").alias("least_id"), F.min(F.struct(*ROW_KEYS)).alias("row"))
     sets = written(sets.select(F.monotonically_increasing_id().alias("node"), *PRINT, "least_id", "row.*"), "sets")
 
