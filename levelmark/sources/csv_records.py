@@ -6,15 +6,14 @@ pass finds for every split whether a quoted cell is open at its end, both if one
 was open at its start and if not; going through these answers, one per split,
 gives the true start of each. With it, a second pass puts the lines of a split
 together to records. Only a record that goes on in another split is joined from
-its parts. Files of one split take one pass and no join.
+its parts. Where every file is one split, one pass does it all.
 """
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 QUOTE, DELIMITER = '"', ","
@@ -62,18 +61,10 @@ def physical_lines(spark: SparkSession, path) -> DataFrame:
     )
 
 
-#: A local file's name has one slash or three here and there.
-LOCAL = ("^file:/+", "file:/")
-
-
-def cut_files(lines: DataFrame) -> set[str]:
-    """Files that lie in several splits; the scan's own list says it, nothing is read."""
+def any_file_cut(lines: DataFrame) -> bool:
+    """Whether a file lies in several splits; the scan's own list says it, nothing is read."""
     splits = (file for partition in lines._jdf.queryExecution().toRdd().partitions() for file in partition.files())
-    return {re.sub(*LOCAL, file.filePath().toString()) for file in splits if file.start() > 0 or file.length() < file.fileSize()}
-
-
-def of_files(names: set[str]) -> Column:
-    return F.regexp_replace("src_file", *LOCAL).isin(*names)
+    return any(file.start() > 0 or file.length() < file.fileSize() for file in splits)
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[str, int, pa.RecordBatch]]:
@@ -200,22 +191,16 @@ def csv_records(spark: SparkSession, path) -> DataFrame:
     \\r\\n; a record keeps the line breaks of its cells. Empty lines are no records;
     a cell that is never closed ends with its file."""
     lines = physical_lines(spark, path)
-    cut: set[str] = set()
-    uncut = lines
-    # Splits are smaller where fewer files are read, so those left are looked at again.
-    while more := cut_files(uncut) - cut:
-        cut |= more
-        uncut = lines.where(~of_files(cut))
-    # No record goes on elsewhere: what is open at the end ends with its file.
-    inside = F.when(F.col("whole"), F.lit(False))
-    records = uncut.select("value", "src_file", "start", inside.alias("inside")).mapInArrow(_assembled, RECORDS).drop("part")
-    if cut:
-        records = records.unionByName(_of_cut_files(lines.where(of_files(cut))))
+    if any_file_cut(lines):
+        records = _of_cut_files(lines.drop("whole"))
+    else:
+        # No record goes on elsewhere: what is open at the end ends with its file.
+        inside = F.when(F.col("whole"), F.lit(False))
+        records = lines.select("value", "src_file", "start", inside.alias("inside")).mapInArrow(_assembled, RECORDS).drop("part")
     return records.where("start > 0 or number > 0")
 
 
 def _of_cut_files(lines: DataFrame) -> DataFrame:
-    lines = lines.drop("whole")
     ends = lines.mapInArrow(_ends, "src_file string, start bigint, if_closed boolean, if_open boolean")
     # A file's splits, a few bytes each, come together; so few that the scan lists them all.
     splits = ends.groupBy("src_file").agg(F.sort_array(F.collect_list(F.struct("start", "if_closed", "if_open"))).alias("splits"))
